@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.minhash import small
 from gridloom.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,6 +96,22 @@ def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source", *keep)
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
+    """docs with each row as often as the mix takes it; texts are not shuffled unless the counts are too many to broadcast."""
+    mark = F.xxhash64(*(docs[c] for c in docs.columns))
+    keyed = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"), mark.alias("_mark"))
+    counts = systematic_mix(keyed, "doc_id", "text", "source", seed, ["_mark"])
+    # rows that are equal in full share a mark and their copies; the least of them carries the sum
+    counts = counts.groupBy(F.col("doc_id").alias("_i"), F.col("_mark").alias("_m")).agg(F.sum("copies").cast("long").alias("_copies"), F.count("*").alias("_same"))
+    counts = cut(counts)
+    own = docs.withColumn("_mark", mark)
+    joined = own.join(small(counts), own[id_col].eqNullSafe(counts["_i"]) & (own["_mark"] == counts["_m"]))
+    single = joined.where("_same = 1")
+    again = joined.where("_same > 1").dropDuplicates([id_col, "_mark"])
+    out = single if counts.where("_same > 1").isEmpty() else single.unionByName(again)
+    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+
+
 ORACLE = """
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {docs}

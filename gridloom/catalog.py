@@ -666,8 +666,8 @@ def dbscan(spark, sf_dir):
 
 # Meshes
 
-_MESH = """vert AS (SELECT c_custkey AS idx, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y, (c_custkey * 7 % 31)::DOUBLE AS z FROM customer), tri AS (SELECT a.idx, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM vert a JOIN vert b ON b.idx = a.idx + 1 JOIN vert c ON c.idx = a.idx + 2),
-cr AS (SELECT *, (by - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) AS nz FROM tri)"""
+_MESH = """vert AS (SELECT c_custkey AS idx, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y, (c_custkey * 7 % 31)::DOUBLE AS z FROM customer), tri AS (SELECT a.idx, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS b_y, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM vert a JOIN vert b ON b.idx = a.idx + 1 JOIN vert c ON c.idx = a.idx + 2),
+cr AS (SELECT *, (b_y - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax) AS nz FROM tri)"""
 
 
 def _mesh(spark, sf_dir):
@@ -690,7 +690,7 @@ def triangle_normals(spark, sf_dir):
     return out.select("idx", *((F.round(F.col("normal")[i], 6) + F.lit(0)).alias(f"n{a}") for i, a in enumerate("xyz")))
 
 
-@query(f"WITH {_MESH} SELECT idx, round((ax + bx + cx) / 3, 6) AS x, round((ay + by + cy) / 3, 6) AS y, round((az + bz + cz) / 3, 6) AS z FROM tri")
+@query(f"WITH {_MESH} SELECT idx, round((ax + bx + cx) / 3, 6) AS x, round((ay + b_y + cy) / 3, 6) AS y, round((az + bz + cz) / 3, 6) AS z FROM tri")
 def triangle_centroids(spark, sf_dir):
     v, t = _mesh(spark, sf_dir)
     return mesh.triangle_centroids(t, v).select("idx", *(F.round(F.col("centroid")[i], 6).alias(a) for i, a in enumerate("xyz")))
@@ -747,8 +747,8 @@ def fundamental_zone_quaternions(spark, sf_dir):
 @query("SELECT n_nationkey::BIGINT AS idx, n_nationkey, n_name FROM nation")
 def csv_round_trip(spark, sf_dir):
     path = scratch(spark, "csv")
-    nation = table(spark, sf_dir, "nation").coalesce(1).withColumn("idx", F.col("n_nationkey").cast("long"))
-    nation.orderBy("idx").coalesce(1).select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value")).write.text(path)
+    nation = table(spark, sf_dir, "nation").withColumn("idx", F.col("n_nationkey").cast("long"))
+    nation.repartition(1).sortWithinPartitions("idx").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value")).write.text(path)
     return text.read_csv(spark, path, {"n_nationkey": "int32", "n_name": "string"}, start_line=1)
 
 
@@ -767,7 +767,7 @@ def table_round_trip(spark, sf_dir):
 def vtk_round_trip(cells, grid):
     spark = cells.sparkSession
     path = scratch(spark, "vtk")
-    binary.vtk_structured_points(cells, grid, ["value"]).coalesce(1).write.text(path)
+    binary.write_lines(binary.vtk_structured_points(cells, grid, ["value"]), path)
     back, read = binary.read_vtk_structured_points(spark, path)
     return read.with_xyz(back.where("value is not null")).groupBy("x").agg(F.count("*").alias("lines"))
 

@@ -17,6 +17,11 @@ REPRESENTATIONS = ("euler", "matrix", "quaternion", "axis_angle", "rodrigues", "
 _EPS = 1e-12
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with value computed once: a lambda's variable stands for it, so nested conversions don't multiply."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _clip(c: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
 
@@ -112,18 +117,18 @@ _TO_QUATERNION = {
     "euler": euler_to_quaternion,
     "matrix": matrix_to_quaternion,
     "axis_angle": axis_angle_to_quaternion,
-    "rodrigues": lambda v: axis_angle_to_quaternion(rodrigues_to_axis_angle(v)),
-    "homochoric": lambda v: axis_angle_to_quaternion(homochoric_to_axis_angle(v)),
-    "stereographic": lambda v: axis_angle_to_quaternion(stereographic_to_axis_angle(v)),
+    "rodrigues": lambda v: _let(rodrigues_to_axis_angle(v), axis_angle_to_quaternion),
+    "homochoric": lambda v: _let(homochoric_to_axis_angle(v), axis_angle_to_quaternion),
+    "stereographic": lambda v: _let(stereographic_to_axis_angle(v), axis_angle_to_quaternion),
 }
 _FROM_QUATERNION = {
     "quaternion": lambda q: q,
     "euler": quaternion_to_euler,
     "matrix": quaternion_to_matrix,
     "axis_angle": quaternion_to_axis_angle,
-    "rodrigues": lambda q: axis_angle_to_rodrigues(quaternion_to_axis_angle(q)),
-    "homochoric": lambda q: axis_angle_to_homochoric(quaternion_to_axis_angle(q)),
-    "stereographic": lambda q: axis_angle_to_stereographic(quaternion_to_axis_angle(q)),
+    "rodrigues": lambda q: _let(quaternion_to_axis_angle(q), axis_angle_to_rodrigues),
+    "homochoric": lambda q: _let(quaternion_to_axis_angle(q), axis_angle_to_homochoric),
+    "stereographic": lambda q: _let(quaternion_to_axis_angle(q), axis_angle_to_stereographic),
 }
 
 
@@ -131,7 +136,9 @@ def convert(v: Column, source: str, to: str) -> Column:
     """A representation as another one."""
     if source not in _TO_QUATERNION or to not in _FROM_QUATERNION:
         raise ValueError(f"no conversion from {source!r} to {to!r}")
-    return v if source == to else _FROM_QUATERNION[to](_TO_QUATERNION[source](v))
+    if source == to:
+        return v
+    return _let(_let(v, _TO_QUATERNION[source]), _FROM_QUATERNION[to])
 
 
 def reorder_quaternion(q: Column, to: str = "scalar_vector") -> Column:
@@ -194,26 +201,28 @@ SYMMETRY = {"cubic": cubic_symmetry, "hexagonal": hexagonal_symmetry, "triclinic
 
 def fundamental_zone(q: Column, symmetry: str) -> Column:
     """The equivalent quaternion of least angle, its scalar part not negative."""
-    options = [multiply(F.array(*map(F.lit, s)), q) for s in SYMMETRY[symmetry]()]
-    best = F.array_max(F.array(*(F.struct(F.round(F.abs(o[3]), 12).alias("w"), F.lit(-i).alias("i"), o.alias("q")) for i, o in enumerate(options))))["q"]
-    sign = F.when(best[3] < 0, -1.0).otherwise(1.0)
-    return F.array(*(sign * best[i] for i in range(4)))
+    turns = F.array(*(F.array(*map(F.lit, s)) for s in SYMMETRY[symmetry]()))
+
+    def least(q: Column) -> Column:
+        options = F.transform(turns, lambda s, i: _let(multiply(s, q), lambda o: F.struct(F.round(F.abs(o[3]), 12).alias("w"), (-i).alias("i"), o.alias("q"))))
+        return _let(F.array_max(options)["q"], lambda o: F.transform(o, lambda c: F.when(o[3] < 0, -c).otherwise(c)))
+
+    return _let(q, least)
 
 
 def misorientation(a: Column, b: Column, symmetry: str) -> Column:
     """The least angle, in radians, between two orientations under the symmetry."""
-    inverse = F.array(-b[0], -b[1], -b[2], b[3])
-    between = multiply(a, inverse)
-    best = F.greatest(*(F.abs(multiply(F.array(*map(F.lit, s)), between)[3]) for s in SYMMETRY[symmetry]())) if len(SYMMETRY[symmetry]()) > 1 else F.abs(between[3])
+    turns = F.array(*(F.array(*map(F.lit, s)) for s in SYMMETRY[symmetry]()))
+    inverse = _let(b, lambda b: F.array(-b[0], -b[1], -b[2], b[3]))
+    between = _let(a, lambda a: _let(inverse, lambda i: multiply(a, i)))
+    best = _let(between, lambda q: F.array_max(F.transform(turns, lambda s: F.abs(multiply(s, q)[3]))))
     return 2 * F.acos(F.least(best, F.lit(1.0)))
 
 
 def c_axis(q: Column) -> Column:
     """The crystal's z axis in the sample's frame, turned to the upper hemisphere."""
-    m = quaternion_to_matrix(q)
-    v = [m[6], m[7], m[8]]
-    sign = F.when(v[2] < 0, -1.0).otherwise(1.0)
-    return F.array(*(sign * c for c in v))
+    axis = _let(_let(q, quaternion_to_matrix), lambda m: F.array(m[6], m[7], m[8]))
+    return _let(axis, lambda v: F.transform(v, lambda c: F.when(v[2] < 0, -c).otherwise(c)))
 
 
 def rotate_euler_frame(e: Column, axis: tuple[float, float, float], angle: float) -> Column:
@@ -221,19 +230,24 @@ def rotate_euler_frame(e: Column, axis: tuple[float, float, float], angle: float
     size = math.sqrt(sum(a * a for a in axis))
     s = math.sin(angle / 2)
     turn = F.array(*(F.lit(a / size * s) for a in axis), F.lit(math.cos(angle / 2)))
-    return quaternion_to_euler(multiply(euler_to_quaternion(e), turn))
+    return _let(_let(_let(e, euler_to_quaternion), lambda q: multiply(q, turn)), quaternion_to_euler)
 
 
 def schmid_factor(q: Column, loading: tuple[float, float, float], plane: tuple[int, int, int], direction: tuple[int, int, int]) -> Column:
     """|cos(loading, plane) cos(loading, direction)| in the crystal's frame, the largest over the cubic equivalents."""
-    m = quaternion_to_matrix(q)
     size = math.sqrt(sum(c * c for c in loading))
-    load = [sum((m[3 * i + j] * (loading[j] / size) for j in range(1, 3)), m[3 * i] * (loading[0] / size)) for i in range(3)]
+    unit = [c / size for c in loading]
+    load = _let(_let(q, quaternion_to_matrix), lambda m: F.array(*(m[3 * i] * unit[0] + m[3 * i + 1] * unit[1] + m[3 * i + 2] * unit[2] for i in range(3))))
+
     def forms(v):
         made = {tuple(s * c for s, c in zip(signs, p)) for p in itertools.permutations(v) for signs in itertools.product((1, -1), repeat=3)}
         return sorted(made)
 
     pairs = [(a, b) for a in forms(plane) for b in forms(direction) if sum(x * y for x, y in zip(a, b)) == 0 and a > tuple(-x for x in a) and b > tuple(-x for x in b)]
     na, nb = math.sqrt(sum(c * c for c in plane)), math.sqrt(sum(c * c for c in direction))
-    dot = lambda v, n: sum((load[i] * (v[i] / n) for i in range(1, 3)), load[0] * (v[0] / n))
-    return F.greatest(*(F.abs(dot(a, na) * dot(b, nb)) for a, b in pairs))
+
+    def best(v: Column) -> Column:
+        dot = lambda a, n: v[0] * (a[0] / n) + v[1] * (a[1] / n) + v[2] * (a[2] / n)
+        return F.greatest(*(F.abs(dot(a, na) * dot(b, nb)) for a, b in pairs))
+
+    return _let(load, best)

@@ -126,7 +126,7 @@ def regional_extrema(cells: DataFrame, grid: Grid, value: str, minima: bool = Fa
 
     made = _until_stable(start, grid, "_m", [value], sweep, (64, 64, 64), 10_000)
     name = name or ("regional_minima" if minima else "regional_maxima")
-    return made.withColumn(name, F.when("_m", foreground).otherwise(background)).drop("_m")
+    return made.withColumn(name, F.when(F.col("_m"), foreground).otherwise(background)).drop("_m")
 
 
 def euclidean_distance_map(cells: DataFrame, grid: Grid, feature: str = "fid", junction: int = 1, manhattan: bool = False, name: str = "distance", most: int = 10_000) -> DataFrame:

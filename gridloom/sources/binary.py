@@ -175,19 +175,26 @@ def read_vtk_structured_points(spark: SparkSession, path: str) -> tuple[DataFram
 
 
 def _text_file(parts: list[DataFrame]) -> DataFrame:
-    """(value): lines, part after part; write with df.write.text."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    """(section, line, value) of lines, part after part."""
+    out = None
+    for k, p in enumerate(parts):
+        p = p.select(F.lit(k).alias("section"), "line", "value")
+        out = p if out is None else out.unionByName(p)
     return out
 
 
+def write_lines(lines: DataFrame, path: str, one_file: bool = True) -> None:
+    """Lines in the order of section and line: one file, made by one task, or files whose names follow the order."""
+    ordered = lines.repartition(1).sortWithinPartitions("section", "line") if one_file else lines.orderBy("section", "line")
+    ordered.select("value").write.mode("overwrite").text(path)
+
+
 def _lines(spark: SparkSession, *lines: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    return spark.createDataFrame(list(enumerate(lines)), "line long, value string")
 
 
 def vtk_structured_points(cells: DataFrame, grid: Grid, columns: list[str]) -> DataFrame:
-    """The lines of a legacy ascii VTK file of cell data."""
+    """The lines of a legacy ascii VTK file of cell data; write_lines writes them."""
     spark = cells.sparkSession
     parts = [_lines(spark, "# vtk DataFile Version 3.0", "grid", "ASCII", "DATASET STRUCTURED_POINTS", "DIMENSIONS " + " ".join(str(d + 1) for d in grid.dims), "ORIGIN " + " ".join(map(str, grid.origin)), "SPACING " + " ".join(map(str, grid.spacing)), f"CELL_DATA {grid.size}")]
     return _text_file(parts + _vtk_columns(cells, columns))
@@ -199,7 +206,7 @@ def _vtk_columns(cells: DataFrame, columns: list[str]) -> list[DataFrame]:
     for c in columns:
         parts.append(_lines(cells.sparkSession, f"SCALARS {c} {names[kinds[c]]} 1", "LOOKUP_TABLE default"))
         value = F.col(c).cast("int") if kinds[c] == "boolean" else F.col(c)
-        parts.append(cells.orderBy("idx").select(value.cast("string").alias("value")))
+        parts.append(cells.select(F.col("idx").alias("line"), value.cast("string").alias("value")))
     return parts
 
 
@@ -215,35 +222,40 @@ def avizo_uniform(cells: DataFrame, grid: Grid, feature: str = "fid", units: str
     spark = cells.sparkSession
     ends = " ".join(f"{o} {o + n * s}" for o, n, s in zip(grid.origin, grid.dims, grid.spacing))
     head = ["# AmiraMesh 3D ASCII 2.0", "define Lattice " + " ".join(map(str, grid.dims)), "Parameters {", f'    Units {{ Coordinates "{units}" }}', f"    BoundingBox {ends},", '    CoordType "uniform"', "}", "Lattice { int FeatureIds } = @1", "@1"]
-    return _text_file([_lines(spark, *head), cells.orderBy("idx").select(F.col(feature).cast("string").alias("value"))])
+    return _text_file([_lines(spark, *head), cells.select(F.col("idx").alias("line"), F.col(feature).cast("string").alias("value"))])
 
 
 def avizo_rectilinear(cells: DataFrame, grid: Grid, feature: str = "fid", units: str = "microns") -> DataFrame:
     spark = cells.sparkSession
     head = ["# AmiraMesh 3D ASCII 2.0", "define Lattice " + " ".join(map(str, grid.dims)), f"define Coordinates {sum(grid.dims)}", "Parameters {", f'    Units {{ Coordinates "{units}" }}', '    CoordType "rectilinear"', "}", "Lattice { int FeatureIds } = @1", "Coordinates { float xyz } = @2", "@1"]
     tail = ["@2"] + [" ".join(str(o + i * s) for i in range(n)) for n, s, o in zip(grid.dims, grid.spacing, grid.origin)]
-    return _text_file([_lines(spark, *head), cells.orderBy("idx").select(F.col(feature).cast("string").alias("value")), _lines(spark, *tail)])
+    return _text_file([_lines(spark, *head), cells.select(F.col("idx").alias("line"), F.col(feature).cast("string").alias("value")), _lines(spark, *tail)])
 
 
 def los_alamos_fft(cells: DataFrame, grid: Grid, euler: str, feature: str = "fid", phase: str = "phase") -> DataFrame:
     """phi1 PHI phi2 in degrees, x y z from 1, feature, phase: a line for each cell."""
-    c = grid.with_xyz(cells).orderBy("idx")
+    c = grid.with_xyz(cells)
     angles = [F.format_string("%.3f", F.degrees(F.col(euler)[i].cast("double"))) for i in range(3)]
-    return c.select(F.concat_ws(" ", *angles, *((F.col(a) + 1).cast("string") for a in "xyz"), F.col(feature).cast("string"), F.col(phase).cast("string")).alias("value"))
+    line = F.concat_ws(" ", *angles, *((F.col(a) + 1).cast("string") for a in "xyz"), F.col(feature).cast("string"), F.col(phase).cast("string"))
+    return _text_file([c.select(F.col("idx").alias("line"), line.alias("value"))])
 
 
 def abaqus_hexahedra(cells: DataFrame, grid: Grid, feature: str = "fid", job: str = "job", stiffness: int = 250) -> dict[str, DataFrame]:
     """The lines of the files nodes, elems, elset, sects and master; nodes and elements count from 1."""
     spark = cells.sparkSession
     nx, ny, nz = (d + 1 for d in grid.dims)
-    nodes = Grid((nx, ny, nz), grid.spacing, grid.origin).cells(spark).orderBy("idx")
+    nodes = Grid((nx, ny, nz), grid.spacing, grid.origin).cells(spark)
     place = [F.format_string("%.6f", grid.origin[k] + F.col(a) * grid.spacing[k]) for k, a in enumerate("xyz")]
-    node_lines = nodes.select(F.concat_ws(", ", (F.col("idx") + 1).cast("string"), *place).alias("value"))
-    c = grid.with_xyz(cells).orderBy("idx")
+    node_lines = nodes.select(F.col("idx").alias("line"), F.concat_ws(", ", (F.col("idx") + 1).cast("string"), *place).alias("value"))
+    c = grid.with_xyz(cells)
     corners = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
     ids = [((F.col("x") + dx) + (F.col("y") + dy) * nx + (F.col("z") + dz) * (nx * ny) + 1).cast("string") for dx, dy, dz in corners]
-    elements = c.select(F.concat_ws(", ", (F.col("idx") + 1).cast("string"), *ids).alias("value"))
-    sets = cells.where(F.col(feature) > 0).orderBy(feature, "idx").select(F.concat_ws(", ", F.concat(F.lit("Grain"), F.col(feature)), (F.col("idx") + 1).cast("string")).alias("value"))
-    sections = cells.where(F.col(feature) > 0).select(feature).distinct().orderBy(feature).select(F.concat(F.lit("*Solid Section, elset=Grain"), F.col(feature), F.lit("_set, material=Grain_Mat"), F.col(feature)).alias("value"))
+    elements = c.select(F.col("idx").alias("line"), F.concat_ws(", ", (F.col("idx") + 1).cast("string"), *ids).alias("value"))
+    some = cells.where(F.col(feature) > 0)
+    order = F.col(feature).cast("long") * grid.size + F.col("idx")
+    sets = some.select(order.alias("line"), F.concat_ws(", ", F.concat(F.lit("Grain"), F.col(feature)), (F.col("idx") + 1).cast("string")).alias("value"))
+    section = F.concat(F.lit("*Solid Section, elset=Grain"), F.col(feature), F.lit("_set, material=Grain_Mat"), F.col(feature))
+    sections = some.select(feature).distinct().select(F.col(feature).cast("long").alias("line"), section.alias("value"))
     master = _lines(spark, "*Heading", job, "*Include, Input = nodes.inp", "*Include, Input = elems.inp", "*Include, Input = elset.inp", "*Include, Input = sects.inp", f"*Hourglass Stiffness, {stiffness}")
-    return {"nodes": _text_file([_lines(spark, "*NODE"), node_lines]), "elems": _text_file([_lines(spark, "*ELEMENT, TYPE=C3D8"), elements]), "elset": sets, "sects": sections, "master": master}
+    files = {"nodes": [_lines(spark, "*NODE"), node_lines], "elems": [_lines(spark, "*ELEMENT, TYPE=C3D8"), elements], "elset": [sets], "sects": [sections], "master": [master]}
+    return {name: _text_file(parts) for name, parts in files.items()}

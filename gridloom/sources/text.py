@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import TYPES
+from gridloom.sources.binary import _lines, _text_file, write_lines
 
 #: Delimiters by name.
 DELIMITERS = {"comma": ",", "semicolon": ";", "space": " ", "colon": ":", "tab": "\t"}
@@ -55,34 +56,31 @@ def read_text_array(spark: SparkSession, path: str, kind: str, components: int =
     return rows.select("idx", F.col("s.v").alias("value"))
 
 
-def write_ascii(df: DataFrame, path: str, columns: list[str], delimiter: str = "comma", header: bool = True, index: bool = False, idx: str = "idx") -> None:
-    """Text files in the order of idx, one a partition of a range of idx; arrays become several fields."""
+def write_ascii(df: DataFrame, path: str, columns: list[str], delimiter: str = "comma", header: bool = True, index: bool = False, idx: str = "idx", one_file: bool = True) -> None:
+    """A text file, or several, in the order of idx; arrays become several fields."""
     mark = DELIMITERS[delimiter]
     kinds = dict(df.dtypes)
     shown = [F.array_join(F.transform(c, lambda x: x.cast("string")), mark) if kinds[c].startswith("array") else F.col(c).cast("string") for c in columns]
     line = F.concat_ws(mark, *([F.col(idx).cast("string")] if index else []), *shown)
     title = mark.join(([idx] if index else []) + columns)
-    ordered = df.orderBy(idx).select(line.alias("value"))
+    lines = [df.select(F.col(idx).cast("long").alias("line"), line.alias("value"))]
     if header:
-        first = df.sparkSession.createDataFrame([(title,)], "value string").coalesce(1)
-        ordered = first.union(ordered)
-    ordered.write.mode("overwrite").text(path)
+        lines.insert(0, _lines(df.sparkSession, title))
+    write_lines(_text_file(lines), path, one_file)
 
 
 def write_feature_csv(features: DataFrame, path: str, scalars: list[str], lists: list[str] = (), delimiter: str = "comma", count_line: bool = True, feature: str = "fid") -> None:
     """Features as a table, each list column as a section of its own: feature, size, values."""
     mark = DELIMITERS[delimiter]
     spark = features.sparkSession
-    table = features.where(F.col(feature) > 0).orderBy(feature)
+    table = features.where(F.col(feature) > 0)
+    line = F.col(feature).cast("long").alias("line")
     parts = []
     if count_line:
-        parts.append(table.groupBy().agg(F.count("*").cast("string").alias("value")))
-    parts.append(spark.createDataFrame([(mark.join([feature, *scalars]),)], "value string"))
-    parts.append(table.select(F.concat_ws(mark, *(F.col(c).cast("string") for c in (feature, *scalars))).alias("value")))
+        parts.append(table.groupBy().agg(F.lit(0).cast("long").alias("line"), F.count("*").cast("string").alias("value")))
+    parts.append(_lines(spark, mark.join([feature, *scalars])))
+    parts.append(table.select(line, F.concat_ws(mark, *(F.col(c).cast("string") for c in (feature, *scalars))).alias("value")))
     for c in lists:
-        parts.append(spark.createDataFrame([(mark.join([feature, f"num_{c}", c]),)], "value string"))
-        parts.append(table.select(F.concat_ws(mark, F.col(feature).cast("string"), F.size(c).cast("string"), F.array_join(F.transform(c, lambda x: x.cast("string")), mark)).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    out.write.mode("overwrite").text(path)
+        parts.append(_lines(spark, mark.join([feature, f"num_{c}", c])))
+        parts.append(table.select(line, F.concat_ws(mark, F.col(feature).cast("string"), F.size(c).cast("string"), F.array_join(F.transform(c, lambda x: x.cast("string")), mark)).alias("value")))
+    write_lines(_text_file(parts), path)

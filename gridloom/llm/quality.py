@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.samples import id_checksum, labelled_sample
 
 ROWS, DIMS, REACH = 1 << 14, 24, 2
+#: Texts that are read at a time.
+SLICE = 500
 HIDDEN = 24
 TRAIN_LOW, TRAIN_HIGH, TRAIN_BYTES = 3000, 5000, 32_000_000
 THRESHOLD = 0.3
@@ -34,26 +36,61 @@ THRESHOLD = 0.3
 
 @lru_cache(maxsize=1)
 def index_vectors() -> np.ndarray:
+    """DIMS by ROWS, and a last column of zeros for the gap between texts."""
     rng = np.random.default_rng(41)
-    return rng.choice(np.array([-1.0, 0.0, 1.0], dtype=np.float32), size=(ROWS, DIMS), p=[1 / 6, 2 / 3, 1 / 6])
+    made = rng.choice(np.array([-1.0, 0.0, 1.0]), size=(ROWS, DIMS), p=[1 / 6, 2 / 3, 1 / 6])
+    return np.ascontiguousarray(np.vstack([made, np.zeros(DIMS)]).T)
 
 
-@lru_cache(maxsize=1 << 18)
-def _tokens_of(word: str) -> tuple[int, int]:
-    import xxhash
+_CACHE: dict[str, tuple[int, int]] = {}
 
-    core = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    at = word.find(core) if core else 0
-    case = "n" if not core else "u" if core.isupper() and len(core) > 1 else "t" if core[:1].isupper() else "l"
-    shape = f"{word[:at]} {case} {word[at + len(core):]}" if len(word) < 40 else f"long {case}"
-    row = lambda kind, s: xxhash.xxh3_64_intdigest(f"{kind}{s}") % ROWS
-    return row("w", core.lower()), row("s", shape)
 
+def _tokens_of(word: str) -> tuple[int, int]:
+    """Rows of the word's letters and of its shape; remembered for up to a million words."""
+    import xxhash
 
-def tokens(text: str | None) -> np.ndarray:
-    """Rows of the text's tokens, two for each word."""
-    words = (text or "").split()
-    return np.array([_tokens_of(w) for w in words], dtype=np.int64).ravel()
+    found = _CACHE.get(word)
+    if found is None:
+        core = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        at = word.find(core) if core else 0
+        case = "n" if not core else "u" if core.isupper() and len(core) > 1 else "t" if core[:1].isupper() else "l"
+        shape = f"{word[:at]} {case} {word[at + len(core):]}" if len(word) < 40 else f"long {case}"
+        found = xxhash.xxh3_64_intdigest("w" + core.lower()) % ROWS, xxhash.xxh3_64_intdigest("s" + shape) % ROWS
+        if len(_CACHE) >= 1_000_000:
+            _CACHE.clear()
+        _CACHE[word] = found
+    return found
+
+
+def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the tokens of an Arrow array of texts, two for each word, and the offsets of each text's."""
+    import pyarrow.compute as pc
+
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(texts, "")))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    table = np.array([_tokens_of(w) for w in words], dtype=np.int64).reshape(-1, 2)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    if "" in words:  # what is left of an empty text
+        real = codes != words.index("")
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        codes = codes[real]
+    return table[codes].ravel(), 2 * ends
+
+
+def add_contexts(total: np.ndarray, rows: np.ndarray, ends: np.ndarray) -> None:
+    """Adds to total, DIMS by ROWS, the index vectors around each token; contexts end with their text."""
+    gap = np.repeat(np.arange(1, len(ends)), np.diff(ends)) * REACH
+    padded = np.full(len(rows) + REACH * len(ends), ROWS)
+    padded[np.arange(len(rows)) + gap] = rows
+    for d, index in enumerate(index_vectors()):
+        values = index[padded]
+        around = np.zeros(len(padded))
+        for k in range(1, REACH + 1):
+            around[k:] += values[:-k]
+            around[:-k] += values[k:]
+        total[d] += np.bincount(padded, weights=around, minlength=ROWS + 1)[:ROWS]
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -62,23 +99,15 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros((ROWS, DIMS))
+        total = np.zeros((DIMS, ROWS))
         met = np.zeros(ROWS, dtype=bool)
         for batch in batches:
-            waiting, n = [], 0
-            for text in batch.column(0):
-                rows = tokens(text.as_py())
-                if not len(rows):
-                    continue
+            for at in range(0, batch.num_rows, SLICE):
+                rows, ends = tokens(batch.column(0).slice(at, SLICE))
                 met[rows] = True
-                waiting.append(rows)
-                n += len(rows)
-                if n > 200_000:
-                    add_contexts(total, waiting)
-                    waiting, n = [], 0
-            add_contexts(total, waiting)
+                add_contexts(total, rows, ends)
         keys = np.flatnonzero(met)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(total[keys, d], pa.float64()) for d in range(DIMS))], names=["row", *(f"d{d}" for d in range(DIMS))])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(total[d, keys], pa.float64()) for d in range(DIMS))], names=["row", *(f"d{d}" for d in range(DIMS))])
 
     parts = docs.select(docs[text_col]).mapInArrow(run, "row long, " + ", ".join(f"d{d} double" for d in range(DIMS)))
     # at most ROWS rows; sums of whole numbers, so their order doesn't matter
@@ -94,29 +123,21 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return vectors
 
 
-def add_contexts(total: np.ndarray, texts: list[np.ndarray]) -> None:
-    """Adds to total the index vectors around each token; contexts end with their text."""
-    if not texts:
-        return
-    rows = np.concatenate(texts)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    index = index_vectors()[rows]
-    around = np.zeros_like(index)
-    for k in range(1, REACH + 1):
-        same = (owner[k:] == owner[:-k])[:, None]
-        around[k:] += index[:-k] * same
-        around[:-k] += index[k:] * same
-    for d in range(DIMS):
-        total[:, d] += np.bincount(rows, weights=around[:, d], minlength=ROWS)
-
-
-def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
-    rows = tokens(text)
-    if not len(rows):
-        return np.zeros(2 * DIMS + 2)
-    found = vectors[rows]
-    different = len(np.unique(rows)) / np.sqrt(len(rows))
-    return np.concatenate([found.mean(axis=0), found.std(axis=0), [np.log1p(len(rows)) / 5, np.log1p(different)]])
+def pooled(texts, vectors: np.ndarray) -> np.ndarray:
+    """A row of features for each of an Arrow array of texts."""
+    rows, ends = tokens(texts)
+    out = np.zeros((len(ends) - 1, 2 * DIMS + 2))
+    for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+        if a == b:
+            continue
+        own, n = rows[a:b], b - a
+        found = vectors[own]
+        mean = found.sum(axis=0, dtype=np.float64) / n
+        square = np.einsum("ij,ij->j", found, found, dtype=np.float64) / n
+        different = np.count_nonzero(np.bincount(own, minlength=ROWS))
+        out[k, :DIMS], out[k, DIMS : 2 * DIMS] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
+        out[k, -2:] = np.log1p(n) / 5, np.log1p(different / np.sqrt(n))
+    return out
 
 
 class QualityModel:
@@ -165,11 +186,13 @@ class QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """A model of labels.quality, learned from rows that are not held out."""
+    import pyarrow as pa
+
     vectors = word_vectors(docs, text_col)
     allowed = F.pmod(id_checksum("doc_id"), F.lit(5)) != 0
     sample, counts = labelled_sample(docs, labels, "quality", allowed, {0: TRAIN_LOW, 1: TRAIN_HIGH}, TRAIN_BYTES, id_col, text_col)
     rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    x = np.array([pooled(r["text"], vectors) for r in rows]).reshape(len(rows), 2 * DIMS + 2)
+    x = pooled(pa.array([r["text"] for r in rows], pa.string()), vectors)
     return QualityModel(vectors, x, np.array([r["label"] for r in rows], dtype=np.int64), counts)
 
 
@@ -178,8 +201,9 @@ def score(model: QualityModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype="float64")
-        return pd.Series(model.score(np.array([pooled(t, model.vectors) for t in texts])))
+        import pyarrow as pa
+
+        made = [model.score(pooled(pa.array(texts.iloc[at : at + SLICE], pa.string()), model.vectors)) for at in range(0, len(texts), SLICE)]
+        return pd.Series(np.concatenate(made) if made else [], dtype="float64")
 
     return scored(text)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from gridloom.llm import mixing, minhash, packing, pii, quality, toxicity
@@ -158,4 +159,19 @@ def test_pipeline_stands_awkward_rows(spark, tmp_path):
 def test_words_and_windows():
     assert toxicity.windows(None) == toxicity.windows(" ") == []
     assert len(toxicity.windows("a b c d e f g h i")) == 2
-    assert len(quality.tokens("Hello, WORLD!! 🙂")) == 6
+    rows, ends = quality.tokens(pa.array(["Hello, WORLD!! 🙂", None, "  ", "x"], pa.string()))
+    assert len(rows) == 8 and ends.tolist() == [0, 6, 6, 6, 8]
+
+
+def test_contexts_end_with_their_text():
+    texts = ["a b c", "", "b", "c a a b"]
+    total = np.zeros((quality.DIMS, quality.ROWS))
+    quality.add_contexts(total, *quality.tokens(pa.array(texts)))
+    want, index = np.zeros_like(total), quality.index_vectors()
+    for t in texts:
+        rows, _ = quality.tokens(pa.array([t]))
+        for i, r in enumerate(rows):
+            for j in range(max(0, i - quality.REACH), min(len(rows), i + quality.REACH + 1)):
+                if i != j:
+                    want[:, r] += index[:, rows[j]]
+    assert (total == want).all()

@@ -3,7 +3,7 @@
 Texts are put in lower case, each code point becomes four scrambled bytes (so that literals are dear and matches
 cheap, whatever the length of a word), and a text is cut at spaces into windows of WINDOW words. Two zstandard
 dictionaries are trained: an ordinary one on windows of ordinary texts, a toxic one on the words that recur in
-toxic texts and never occur in the ordinary sample. Each window is compressed with the ordinary dictionary alone and
+toxic texts and hardly occur in ordinary ones. Each window is compressed with the ordinary dictionary alone and
 with the toxic one before it; the ordinary part is the same, so a window that gains nothing from the toxic
 dictionary has the same length in both, and the gain is the distance. Numbers of windows whose gain reaches the
 thresholds GAINS, relative to their kind, make the features of a logistic regression with the base rate restored, so
@@ -34,8 +34,8 @@ LEVEL = 6
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 12
 GAINS = (2, 4, 6, 10)
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 24_000_000
-#: A word of the toxic dictionary occurs in so many toxic texts at least.
-LEAST_DOCS, LEAST_SHARE = 3, 0.02
+#: A word of the toxic dictionary occurs in so many toxic texts at least, and in so many times the ordinary texts' share.
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 20
 THRESHOLD = 0.7
 
 
@@ -109,13 +109,13 @@ class ToxicityModel:
             return
         normal = [t for t, k in zip(texts, y) if not k]
         bad = [t for t, k in zip(texts, y) if k]
-        known = {w for t in normal for w in t.lower().split()}
-        found = [{w for w in t.lower().split() if w not in known} for t in bad]
+        found = [set(t.lower().split()) for t in bad]
         seen = Counter(w for words in found for w in words)
+        plain = Counter(w for t in normal for w in set(t.lower().split()))
         least = max(LEAST_DOCS, LEAST_SHARE * len(bad))
-        own = [_wide(f" {w} ").tobytes() for words in found for w in sorted(words) if seen[w] >= least]
-        if not own:
-            own = [_wide(f" {w} ").tobytes() for words in found for w in sorted(words)] or [_wide("  ").tobytes()]
+        telling = {w for w, n in seen.items() if n >= least and n / len(bad) >= LEAST_RATIO * plain[w] / len(normal)}
+        telling = telling or {w for w in seen if w not in plain}
+        own = [_wide(f" {w} ").tobytes() for words in found for w in sorted(words & telling)] or [_wide("  ").tobytes()]
         cut = [w for t in normal for w in windows(t)]
         pick = np.random.default_rng(0).permutation(len(cut))[:30_000]
         self.ordinary = _dictionary(ORDINARY_BYTES, [cut[i] for i in pick])

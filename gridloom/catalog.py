@@ -724,6 +724,25 @@ def rotate_sample_ref_frame(cells, grid):
     return out.select("idx", "value")
 
 
+@cell_query(" SELECT idx, fid FROM cells")
+def sample_triangle_geometry_on_grid(cells, grid):
+    """The surface mesh of the cells, sampled at the cells' centres, gives the cells back."""
+    v, t = mesh.quick_surface_mesh(cells, grid)
+    return mesh.sample_mesh_on_grid(t, v, grid)
+
+
+@cell_query(", f AS (SELECT fid, count(*)::DOUBLE AS mass, count(*) * (var_pop(x) + 1.0::DOUBLE / 12) AS m20, count(*) * (var_pop(y) + 1.0::DOUBLE / 12) AS m02, count(*) * covar_pop(x, y) AS m11 FROM cells WHERE fid > 0 GROUP BY fid) SELECT fid, mass, round(2 * mass * mass / (m20 + m02), 6) AS omega1, round(mass * mass * mass * mass / (m20 * m02 - m11 * m11), 3) AS omega2 FROM f")
+def moment_invariants(cells, grid):
+    out = aggregates.moment_invariants(cells, grid)
+    return out.select("fid", "mass", F.round("omega1", 6).alias("omega1"), F.round("omega2", 3).alias("omega2"))
+
+
+@query("SELECT c_custkey AS idx, c_acctbal FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_nationkey BETWEEN 3 AND 20")
+def crop_vertex_geometry(spark, sf_dir):
+    v = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return mesh.crop_vertices(v, (0, 3, 0), (5000, 20, 0)).select(F.col("key").alias("idx"), F.col("x").alias("c_acctbal"))
+
+
 # Orientations
 
 

@@ -8,7 +8,7 @@ whose size is a parameter, whatever the grid's size.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +46,10 @@ class Grid:
     def centre(self, axis: int, at: Column) -> Column:
         return self.origin[axis] + (at + 0.5) * self.spacing[axis]
 
+    def placed(self, origin: tuple[float, float, float] | None = None, spacing: tuple[float, float, float] | None = None) -> Grid:
+        """The same cells with another origin or spacing."""
+        return replace(self, origin=origin or self.origin, spacing=spacing or self.spacing)
+
     def cells(self, spark: SparkSession) -> DataFrame:
         return self.with_xyz(spark.range(self.size).withColumnRenamed("id", "idx"))
 

@@ -217,3 +217,15 @@ def shapes(cells: DataFrame, grid: Grid, feature: str = "fid") -> DataFrame:
 
     kind = dict(cells.dtypes)[feature]
     return m.mapInPandas(axes, f"{feature} {kind}, axis_a double, axis_b double, axis_c double, b_over_a double, c_over_a double, omega3 double, volume double")
+
+
+def moment_invariants(cells: DataFrame, grid: Grid, feature: str = "fid") -> DataFrame:
+    """(feature, mass, m20, m02, m11, omega1, omega2) of flat features: central moments of the feature's cells as unit
+    squares, and the two invariants of their size."""
+    c = grid.with_xyz(cells.where(F.col(feature) > 0))
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    m = c.groupBy(feature).agg(F.count("*").cast("double").alias("mass"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("vxy"))
+    n = F.col("mass")
+    m = m.select(feature, "mass", (n * (F.col("vx") + 1 / 12)).alias("m20"), (n * (F.col("vy") + 1 / 12)).alias("m02"), (n * F.col("vxy")).alias("m11"))
+    m20, m02, m11 = F.col("m20"), F.col("m02"), F.col("m11")
+    return m.withColumns({"omega1": 2 * n * n / (m20 + m02), "omega2": n**4 / (m20 * m02 - m11 * m11)})

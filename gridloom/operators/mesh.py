@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import uniform
@@ -196,8 +196,6 @@ def slice_triangles(triangles: DataFrame, vertices: DataFrame, low: float, high:
 def sample_triangles(triangles: DataFrame, vertices: DataFrame, samples: int, seed: int = 5489, mask: str | None = None) -> DataFrame:
     """(sample, triangle, x, y, z): points spread by area; a triangle gets its share of an evenly stepped sum of areas
     with one random start, and random barycentric coordinates."""
-    from pyspark.sql import Window
-
     some = triangles.where(F.col(mask).cast("boolean")) if mask else triangles
     t = cut(with_corners(triangle_areas(some, vertices), vertices))
     total = t.agg(F.sum("area")).first()[0] or 0.0
@@ -244,3 +242,90 @@ def quick_surface_mesh(cells: DataFrame, grid: Grid, feature: str = "fid") -> tu
         tri = tri.join(number.select(F.col("_n").alias(f"_n{k}"), F.col("_rank").alias(f"v{k}")), f"_n{k}")
     tri = tri.join(ranks(tri, "_o"), "_o").select(F.col("_rank").alias("idx"), "v0", "v1", "v2", "label_a", "label_b")
     return vertices, tri
+
+
+def crop_vertices(vertices: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
+    """Vertices in a closed box, numbered again in order."""
+    inside = F.lit(True)
+    for a, lo, hi in zip("xyz", low, high):
+        inside = inside & F.col(a).between(lo, hi)
+    kept = vertices.where(inside)
+    return kept.join(ranks(kept, "idx"), "idx").drop("idx").withColumnRenamed("_rank", "idx").select("idx", *(c for c in vertices.columns if c != "idx"))
+
+
+def sample_mesh_on_grid(triangles: DataFrame, vertices: DataFrame, grid: Grid, label_a: str = "label_a", label_b: str = "label_b") -> DataFrame:
+    """(idx, fid): the feature whose surface encloses each cell's centre, 0 if none.
+
+    A triangle meets the columns of cells under it; where it crosses a column's line it adds its winding to both its
+    labels, and a running sum along the column tells which feature a cell is in. A hit on an edge counts for one side only.
+    """
+    t = with_corners(triangles, vertices)
+    p = _points()
+    ox, oy = grid.origin[0] + 0.5 * grid.spacing[0], grid.origin[1] + 0.5 * grid.spacing[1]
+    span = lambda k, o, s, n: (F.greatest(F.lit(0), F.ceil((F.least(*(c[k] for c in p)) - o) / s)).cast("int"), F.least(F.lit(n - 1), F.floor((F.greatest(*(c[k] for c in p)) - o) / s)).cast("int"))
+    (x0, x1), (y0, y1) = span(0, ox, grid.spacing[0], grid.dims[0]), span(1, oy, grid.spacing[1], grid.dims[1])
+    rows = t.select("p0", "p1", "p2", F.col(label_a).alias("a"), F.col(label_b).alias("b"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")).where("x0 <= x1 and y0 <= y1")
+    rows = rows.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    # a tilt far below the spacing keeps lines off edges and corners
+    px, py = ox + F.col("x") * grid.spacing[0] + 1.37e-7 * grid.spacing[0], oy + F.col("y") * grid.spacing[1] + 2.11e-7 * grid.spacing[1]
+    side = lambda u, v: (v[0] - u[0]) * (py - u[1]) - (v[1] - u[1]) * (px - u[0])
+    w0, w1, w2 = side(p[1], p[2]), side(p[2], p[0]), side(p[0], p[1])
+    area = w0 + w1 + w2
+    hit = ((w0 > 0) & (w1 > 0) & (w2 > 0)) | ((w0 < 0) & (w1 < 0) & (w2 < 0))
+    height = (w0 * p[0][2] + w1 * p[1][2] + w2 * p[2][2]) / area
+    first = F.ceil((height - grid.origin[2]) / grid.spacing[2] - 0.5).cast("long")
+    hits = rows.where(hit).select("x", "y", F.greatest(first, F.lit(0)).alias("z"), F.signum(area).cast("int").alias("w"), "a", "b")
+    turns = hits.select("x", "y", "z", F.explode(F.array(F.struct(F.col("a").alias("fid"), (-F.col("w")).alias("w")), F.struct(F.col("b").alias("fid"), F.col("w").alias("w")))).alias("s")).select("x", "y", "z", "s.fid", "s.w").where("fid > 0")
+    steps = turns.groupBy("x", "y", "fid", "z").agg(F.sum("w").alias("w"))
+    line = Window.partitionBy("x", "y", "fid").orderBy("z")
+    runs = steps.withColumn("_in", F.sum("w").over(line)).withColumn("_end", F.least(F.coalesce(F.lead("z").over(line), F.lit(grid.dims[2])), F.lit(grid.dims[2])))
+    runs = runs.where((F.col("_in") != 0) & (F.col("z") < F.col("_end"))).withColumn("_z", F.explode(F.sequence(F.col("z"), F.col("_end") - 1)))
+    found = runs.select(grid.index(F.col("x"), F.col("y"), F.col("_z")).alias("idx"), "fid").groupBy("idx").agg(F.min("fid").alias("fid"))
+    return grid.cells(triangles.sparkSession).select("idx").join(found, "idx", "left").select("idx", F.coalesce("fid", F.lit(0)).cast("long").alias("fid"))
+
+
+def _to_triangle(q: list[Column]) -> Column:
+    """Distance from q to the triangle p0, p1, p2: to its plane where the foot lies within, else to the nearest edge."""
+    p = [[c[i] for i in range(3)] for c in _points()]
+    diff = lambda a, b: [x - y for x, y in zip(a, b)]
+    n = _cross(diff(p[1], p[0]), diff(p[2], p[0]))
+    size = _norm(n)
+    height = _dot(diff(q, p[0]), n) / F.when(size > 0, size).otherwise(1.0)
+    within = size > 0
+    edges = []
+    for a, b in ((0, 1), (1, 2), (2, 0)):
+        e, r = diff(p[b], p[a]), diff(q, p[a])
+        within = within & (_dot(_cross(e, r), n) >= 0)
+        length = _dot(e, e)
+        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _dot(r, e) / F.when(length > 0, length).otherwise(1.0)))
+        edges.append(_norm([r[i] - part * e[i] for i in range(3)]))
+    return F.when(within, F.abs(height)).otherwise(F.least(*edges)) * F.when(height < 0, -1.0).otherwise(1.0)
+
+
+def vertex_triangle_distances(points: DataFrame, triangles: DataFrame, vertices: DataFrame, width: float, most: int = 40) -> DataFrame:
+    """(idx, distance, triangle): the nearest triangle of each point, negative behind its winding.
+
+    Triangles are listed in all cells of a hash grid that their boxes touch; points look in rings of cells that grow until the
+    nearest triangle is surely among them.
+    """
+    p = _points()
+    t = with_corners(triangles, vertices).select(F.col("idx").alias("triangle"), "p0", "p1", "p2")
+    for k, a in enumerate("xyz"):
+        lo, hi = F.floor(F.least(*(c[k] for c in p)) / width), F.floor(F.greatest(*(c[k] for c in p)) / width)
+        t = t.withColumn(f"_c{a}", F.explode(F.sequence(lo, hi)))
+    t = cut(t)
+    left = cut(points.select("idx", "x", "y", "z", *(F.floor(F.col(a) / width).alias(f"_c{a}") for a in "xyz")))
+    done, reach = None, 1
+    while True:
+        near = left
+        for a in "xyz":
+            near = near.withColumn(f"_c{a}", F.explode(F.sequence(F.col(f"_c{a}") - reach, F.col(f"_c{a}") + reach)))
+        d = _to_triangle([F.col(a) for a in "xyz"])
+        best = near.join(t, ["_cx", "_cy", "_cz"]).withColumn("_d", d).groupBy("idx").agg(F.min(F.struct(F.abs("_d").alias("m"), F.col("triangle"), F.col("_d").alias("d"))).alias("b"))
+        got = cut(left.join(best, "idx", "left").withColumn("_ok", F.col("b.m") <= reach * width))
+        part = (got.where("_ok") if reach < most else got.where("b is not null")).select("idx", F.col("b.d").alias("distance"), F.col("b.triangle").alias("triangle"))
+        done = part if done is None else done.unionByName(part)
+        left = cut(got.where(~F.coalesce("_ok", F.lit(False))).select(*left.columns))
+        if reach >= most or left.isEmpty():
+            return done
+        reach = min(most, 3 * reach)

@@ -204,6 +204,15 @@ def test_mesh_volumes_and_io(spark, tmp_path):
     assert kept.agg(F.max(F.greatest("v0", "v1", "v2"))).first()[0] == points.count() - 1
 
 
+def test_distances_to_triangles(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 4.0, 0.0, 0.0), (2, 0.0, 4.0, 0.0), (3, 0.0, 0.0, 50.0), (4, 4.0, 0.0, 50.0), (5, 0.0, 4.0, 50.0)], "idx long, x double, y double, z double")
+    t = spark.createDataFrame([(0, 0, 1, 2), (1, 3, 4, 5)], "idx long, v0 long, v1 long, v2 long")
+    points = spark.createDataFrame([(0, 1.0, 1.0, 2.0), (1, 1.0, 1.0, -3.0), (2, -3.0, 0.0, 4.0), (3, 4.0, 4.0, 0.0), (4, 1.0, 1.0, 45.0)], "idx long, x double, y double, z double")
+    got = {r["idx"]: (r["distance"], r["triangle"]) for r in mesh.vertex_triangle_distances(points, t, v, 2.0).collect()}
+    assert got[0] == (2.0, 0) and got[1] == (-3.0, 0) and got[2] == (5.0, 0) and got[4] == (-5.0, 1)
+    assert got[3][0] == pytest.approx(math.sqrt(8))
+
+
 def test_raw_and_text_round_trips(spark, tmp_path):
     df = spark.createDataFrame([(i, i * 1.5, [i, -i]) for i in range(50)], "idx long, v double, w array<int>")
     for big in (False, True):

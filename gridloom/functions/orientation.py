@@ -225,6 +225,25 @@ def c_axis(q: Column) -> Column:
     return _let(axis, lambda v: F.transform(v, lambda c: F.when(v[2] < 0, -c).otherwise(c)))
 
 
+def cubic_ipf_color(q: Column, direction: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> Column:
+    """Red, green, blue, 0 to 255, of a sample direction in the standard triangle of a cubic crystal: red at 001,
+    green at 011, blue at 111."""
+    size = math.sqrt(sum(c * c for c in direction))
+    unit = [c / size for c in direction]
+    crystal = _let(_let(q, quaternion_to_matrix), lambda m: F.sort_array(F.array(*(F.abs(m[3 * i] * unit[0] + m[3 * i + 1] * unit[1] + m[3 * i + 2] * unit[2]) for i in range(3)))))
+
+    def color(v: Column) -> Column:
+        eta, chi = F.atan2(v[0], v[1]), F.acos(F.least(v[2], F.lit(1.0)))
+        return _let(F.array(eta / (math.pi / 4), chi / F.acos(F.sqrt(1 / (2 + F.tan(eta) ** 2)))), parts)
+
+    def parts(p: Column) -> Column:
+        depth = F.least(p[1], F.lit(1.0))
+        made = F.transform(F.array(1 - depth, (1 - p[0]) * depth, p[0] * depth), lambda c: F.sqrt(F.greatest(c, F.lit(0.0))))
+        return _let(made, lambda c: F.transform(c, lambda x: F.floor(255 * x / F.array_max(c) + 1e-9).cast("int")))
+
+    return _let(crystal, color)
+
+
 def rotate_euler_frame(e: Column, axis: tuple[float, float, float], angle: float) -> Column:
     """Euler angles after a turn of the reference frame."""
     size = math.sqrt(sum(a * a for a in axis))

@@ -257,6 +257,48 @@ def shift_sections(cells: DataFrame, grid: Grid, shifts: DataFrame, values: list
     return out.withColumns({v: F.coalesce(f"_v_{v}", F.lit(0).cast(kinds[v])) for v in values}).select(*cells.columns)
 
 
+def align_sections_list(cells: DataFrame, grid: Grid, shifts: list[tuple[int, int, int]], values: list[str]) -> DataFrame:
+    """Sections moved by a list of (z, dx, dy), each relative to the section above, which adds up from the top down."""
+    total_x = total_y = 0
+    rows = []
+    for z, dx, dy in sorted(shifts, reverse=True):
+        total_x, total_y = total_x + dx, total_y + dy
+        rows.append((z, total_x, total_y))
+    return shift_sections(cells, grid, F.broadcast(cells.sparkSession.createDataFrame(rows, "z long, dx long, dy long")), values)
+
+
+def _thin_once(m: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """One round of parallel thinning in the x, y plane: contour cells of one side go, then those of the other."""
+    ring = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
+    for half in (0, 1):
+        near = [shifted(m, dx, dy, 0, fill=False) & shifted(inside, dx, dy, 0, fill=False) for dx, dy in ring]
+        count = sum(n.astype(int) for n in near)
+        changes = sum((~a & b).astype(int) for a, b in zip(near, near[1:] + near[:1]))
+        n, e, s, w = near[0], near[2], near[4], near[6]
+        open_ = ~(n & e & s) & ~(e & s & w) if half == 0 else ~(n & e & w) & ~(n & s & w)
+        m = m & ~(m & (count >= 2) & (count <= 6) & (changes == 1) & open_)
+    return m
+
+
+def binary_thinning(cells: DataFrame, grid: Grid, value: str, foreground: int = 1, name: str | None = None, steps: int = 4, most: int = 10_000) -> DataFrame:
+    """The skeleton of the foreground in each layer, one cell wide; steps rounds to a shuffle."""
+    now = cells.withColumn("_m", F.col(value) == foreground)
+
+    def compute(arrays, inside, first):
+        m = arrays["_m"]
+        for _ in range(steps):
+            m = _thin_once(m, inside)
+        return {"_new": m, "_moved": m != arrays["_m"]}
+
+    for _ in range(most):
+        made = cut(map_tiles(now, grid, ["_m"], {"_new": "boolean", "_moved": "boolean"}, compute, (2 * steps, 2 * steps, 0), carry=[c for c in now.columns if c not in ("idx", "_m")]))
+        now = made.withColumnRenamed("_new", "_m").drop("_moved")
+        if made.where("_moved").isEmpty():
+            break
+    kind = dict(cells.dtypes)[value]
+    return now.withColumn(name or value, F.when(F.col("_m"), foreground).otherwise(0).cast(kind)).drop("_m").select(*cells.columns, *([name] if name and name not in cells.columns else []))
+
+
 def iterative_closest_point(moving: DataFrame, target: DataFrame, iterations: int = 10, width: float | None = None) -> tuple[DataFrame, np.ndarray]:
     """moving fitted rigidly to target: nearest points, least-squares rotation and shift, repeated; and the 4x4 matrix.
 

@@ -178,6 +178,39 @@ def image_slices(cells: DataFrame, grid: Grid, value: str) -> DataFrame:
     return grid.with_xyz(cells).select("idx", "z", value).groupBy("z").applyInPandas(run, "part long, content binary")
 
 
+def read_mha(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
+    """Cells (idx, channels) and the grid of a MetaImage file that holds its own samples, plain or compressed."""
+    kinds = {"MET_CHAR": "i1", "MET_UCHAR": "u1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
+
+    def header(content: bytes) -> tuple[dict, int]:
+        values, at = {}, 0
+        while "ElementDataFile" not in values:
+            end = content.index(b"\n", at)
+            name, _, value = content[at:end].decode("latin-1").partition("=")
+            values[name.strip()] = value.strip()
+            at = end + 1
+        return values, at
+
+    head, _ = header(bytes(_files(spark, path).select(F.substring("content", 1, 4096)).first()[0]))
+    three = lambda name, f, pad: tuple([f(x) for x in head[name].split()] + [pad] * (3 - len(head[name].split()))) if name in head else (pad,) * 3
+    origin = next((n for n in ("Offset", "Position", "Origin") if n in head), "Offset")
+    grid = Grid(three("DimSize", int, 1), three("ElementSpacing", float, 1.0), three(origin, float, 0.0))
+
+    def decode(path, content):
+        import pandas as pd
+
+        values, at = header(content)
+        data = content[at:] if values.get("CompressedData", "False") != "True" else zlib.decompress(content[at:])
+        order = ">" if values.get("BinaryDataByteOrderMSB", values.get("ElementByteOrderMSB", "False")) == "True" else "<"
+        n = int(values.get("ElementNumberOfChannels", 1))
+        rows = np.frombuffer(data, dtype=order + kinds[values["ElementType"]]).reshape(-1, n).astype(np.float64)
+        for start in range(0, len(rows), 1 << 16):
+            some = rows[start : start + (1 << 16)]
+            yield pd.DataFrame({"idx": np.arange(start, start + len(some)), "channels": list(some)})
+
+    return _decoded(_files(spark, path), decode, "idx long, channels array<double>"), grid
+
+
 def read_hdf5_dataset(path: str, dataset: str, spark: SparkSession) -> DataFrame:
     """(idx, value) of a dataset, rows by its first axis; needs h5py, which reads through the driver's file system."""
     try:

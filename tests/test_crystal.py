@@ -74,6 +74,22 @@ def test_images(spark, tmp_path):
     assert back == blocks[1][:, :, 0].ravel().tolist()
 
 
+def test_ipf_colors(spark):
+    h = np.radians(45) / 2
+    axis = np.arccos(1 / np.sqrt(3)) / 2
+    rows = [[0.0, 0.0, 0.0, 1.0], [float(np.sin(h)), 0.0, 0.0, float(np.cos(h))], [float(np.sin(axis) / np.sqrt(2)), float(-np.sin(axis) / np.sqrt(2)), 0.0, float(np.cos(axis))]]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(rows)], "i int, q array<double>")
+    got = [list(r[0]) for r in df.orderBy("i").select(orientation.cubic_ipf_color(F.col("q"))).collect()]
+    assert got == [[255, 0, 0], [0, 255, 0], [0, 0, 255]]
+
+
+def test_meta_image(spark, tmp_path):
+    head = "ObjectType = Image\nNDims = 2\nDimSize = 3 2\nElementSpacing = 0.5 2\nElementType = MET_USHORT\nElementDataFile = LOCAL\n"
+    (tmp_path / "a.mha").write_bytes(head.encode() + np.arange(6, dtype="<u2").tobytes())
+    cells, grid = instruments.read_mha(spark, str(tmp_path / "a.mha"))
+    assert grid == Grid((3, 2, 1), (0.5, 2.0, 1.0)) and [r["channels"][0] for r in cells.orderBy("idx").collect()] == list(range(6))
+
+
 def test_instrument_files(spark, tmp_path):
     (tmp_path / "p.ini").write_text("[EnsembleInfo]\nNumber_Phases=1\n[1]\nCrystalStructure=Cubic_High\nPhaseType=PrimaryPhase\n")
     assert [r["phase_type"] for r in instruments.read_ensemble_info(spark, str(tmp_path / "p.ini")).orderBy("phase").collect()] == ["Unknown_Phase_Type", "PrimaryPhase"]

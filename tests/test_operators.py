@@ -181,6 +181,19 @@ def test_distances_and_cleanup(spark):
     assert kept[0, 1, 1] == 0
 
 
+def test_thinning_and_section_lists(spark):
+    block = np.zeros((1, 9, 20), dtype=int)
+    block[0, 2:7, 2:18] = 1
+    cells, grid = grid_frame(spark, {"v": block})
+    thin = block_of(iterate.binary_thinning(cells, grid, "v", steps=1), "v", block.shape).astype(int)
+    assert 0 < thin.sum() < 20 and (thin <= block).all() and (thin.sum(axis=1) <= 1).all()
+    layers = np.arange(24).reshape(2, 3, 4)
+    cells, grid = grid_frame(spark, {"v": layers})
+    moved = block_of(iterate.align_sections_list(cells, grid, [(1, 1, 0), (0, 0, 1)], ["v"]), "v", layers.shape)
+    assert (moved[1, :, :3] == layers[1, :, 1:]).all() and (moved[1, :, 3] == 0).all()
+    assert (moved[0, :2, :3] == layers[0, 1:, 1:]).all() and (moved[0, 2] == 0).all()
+
+
 def test_mesh_volumes_and_io(spark, tmp_path):
     fid = np.ones((2, 2, 2), dtype=int)
     fid[0] = 2

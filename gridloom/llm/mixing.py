@@ -22,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.minhash import small
-from gridloom.session import cut
+from gridloom.session import cut, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3

@@ -23,8 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.minhash import small
-from gridloom.session import cut
+from gridloom.session import cut, small
 
 #: The kinds in order and their expressions.
 KINDS = ("email", "ip", "card", "phone")

@@ -2,8 +2,8 @@
 
 At least half of the nodes that still have edges vanish in each round, so rounds grow
 with the logarithm of the graph. Every step is a join or a partial aggregation over
-tables in the shared folder, so a node with a third of all edges is split by the
-adaptive skew join, and nothing is collected but one count a step.
+tables in the shared folder. Few parents (by a count) are broadcast; many are joined by a
+shuffle, where a node with a third of all edges is split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import cut
+from gridloom.session import cut, small
 
 
 def _flatten(parents: DataFrame) -> DataFrame:
     """Pointer jumping until every node's parent is a root (a node without a parent)."""
     while True:
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        up = small(parents.select(F.col("node").alias("parent"), F.col("parent").alias("above")))
         jumped = cut(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
         parents = jumped.select("node", "parent")
         if jumped.where("moved").isEmpty():
@@ -38,13 +38,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         parents = _flatten(parents)
         if labels is None:
             nodes = first.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            labels = nodes.join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("component"))
+            labels = nodes.join(small(parents), "node", "left").select("node", F.coalesce("parent", "node").alias("component"))
         else:
-            up = parents.select(F.col("node").alias("component"), F.col("parent").alias("above"))
+            up = small(parents.select(F.col("node").alias("component"), F.col("parent").alias("above")))
             labels = labels.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
         labels = cut(labels)
-        pu = parents.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
-        pv = parents.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
+        pu = small(parents.select(F.col("node").alias("u"), F.col("parent").alias("pu")))
+        pv = small(parents.select(F.col("node").alias("v"), F.col("parent").alias("pv")))
         moved = live.join(pu, "u", "left").join(pv, "v", "left").select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b"))
         live = cut(moved.where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     if labels is None:

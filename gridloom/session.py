@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of up to this many rows, a few dozen bytes each, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -51,5 +55,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count shows that its rows are few; for narrow tables without costly lineage."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -192,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     allowed = F.pmod(id_checksum("doc_id"), F.lit(5)) != 0
     sample, counts = labelled_sample(docs, labels, "quality", allowed, {0: TRAIN_LOW, 1: TRAIN_HIGH}, TRAIN_BYTES, id_col, text_col)
     rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    x = pooled(pa.array([r["text"] for r in rows], pa.string()), vectors)
+    parts = [pooled(pa.array([r["text"] for r in rows[at : at + SLICE]], pa.string()), vectors) for at in range(0, len(rows), SLICE)]
+    x = np.concatenate(parts) if parts else np.zeros((0, 2 * DIMS + 2))
     return QualityModel(vectors, x, np.array([r["label"] for r in rows], dtype=np.int64), counts)
 
 

@@ -2,8 +2,8 @@
 
 Texts are put in lower case, each code point becomes four scrambled bytes (so that literals are dear and matches
 cheap, whatever the length of a word), and a text is cut at spaces into windows of WINDOW words. Two zstandard
-dictionaries are trained: an ordinary one on windows of ordinary texts, a toxic one on the words that recur in
-toxic texts and hardly occur in ordinary ones. Each window is compressed with the ordinary dictionary alone and
+dictionaries are trained: an ordinary one on windows of ordinary texts, a toxic one on the words and beginnings of
+words that recur in toxic texts and occur far less in ordinary ones. Each window is compressed with the ordinary dictionary alone and
 with the toxic one before it; the ordinary part is the same, so a window that gains nothing from the toxic
 dictionary has the same length in both, and the gain is the distance. Numbers of windows whose gain reaches the
 thresholds GAINS, relative to their kind, make the features of a logistic regression with the base rate restored, so
@@ -34,8 +34,10 @@ LEVEL = 6
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 12
 GAINS = (2, 4, 6, 10)
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 24_000_000
-#: A word of the toxic dictionary occurs in so many toxic texts at least, and in so many times the ordinary texts' share.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 20
+#: A word, or a beginning of so many letters, of the toxic dictionary occurs in so many toxic texts at least, and in so
+#: many times the ordinary texts' share.
+BEGINNINGS = (4, 5, 6, 7)
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 5
 THRESHOLD = 0.7
 
 
@@ -59,6 +61,15 @@ def windows(text: str | None) -> list[bytes]:
     return [raw[4 * a : 4 * b + 4] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
+def units(text: str) -> set[str]:
+    """The text's different words, and their beginnings, as they stand behind a space."""
+    out = set()
+    for w in set(text.lower().split()):
+        out.add(f" {w} ")
+        out.update(f" {w[:k]}" for k in BEGINNINGS if len(w) > k)
+    return out
+
+
 @lru_cache(maxsize=4)
 def _compressors(ordinary: bytes, toxic: bytes):
     made = []
@@ -109,16 +120,18 @@ class ToxicityModel:
             return
         normal = [t for t, k in zip(texts, y) if not k]
         bad = [t for t, k in zip(texts, y) if k]
-        found = [set(t.lower().split()) for t in bad]
-        seen = Counter(w for words in found for w in words)
-        plain = Counter(w for t in normal for w in set(t.lower().split()))
+        found = [units(t) for t in bad]
+        seen = Counter(u for own in found for u in own)
         least = max(LEAST_DOCS, LEAST_SHARE * len(bad))
-        telling = {w for w, n in seen.items() if n >= least and n / len(bad) >= LEAST_RATIO * plain[w] / len(normal)}
-        telling = telling or {w for w in seen if w not in plain}
-        own = [_wide(f" {w} ").tobytes() for words in found for w in sorted(words & telling)] or [_wide("  ").tobytes()]
-        cut = [w for t in normal for w in windows(t)]
-        pick = np.random.default_rng(0).permutation(len(cut))[:30_000]
-        self.ordinary = _dictionary(ORDINARY_BYTES, [cut[i] for i in pick])
+        often = {u for u, n in seen.items() if n >= least} or set(seen)
+        plain = Counter(u for t in normal for u in often & units(t))
+        telling = {u for u in often if seen[u] / len(bad) >= LEAST_RATIO * plain[u] / len(normal)}
+        own = [_wide(u).tobytes() for some in found for u in sorted(some & telling)] or [_wide("  ").tobytes()]
+        ends = np.cumsum([0, *(-(-len(t.split()) // WINDOW) for t in normal)])
+        pick = np.sort(np.random.default_rng(0).permutation(int(ends[-1]))[:30_000])
+        parts = np.split(pick, np.searchsorted(pick, ends[1:-1]))
+        some = [cut[i] for t, a, own in zip(normal, ends, parts) if len(own) for cut in [windows(t)] for i in own - a]
+        self.ordinary = _dictionary(ORDINARY_BYTES, some)
         self.toxic = _dictionary(TOXIC_BYTES, own)
         x = np.array([features(t, self.ordinary, self.toxic) for t in texts])
         share = {k: counts[k] / total / max(1, (y == k).sum()) for k in (0, 1)}

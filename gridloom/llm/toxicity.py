@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Texts are put in lower case, each code point becomes four scrambled bytes (so that literals are dear and matches
-cheap, whatever the length of a word), and a text is cut at spaces into windows of WINDOW words. Two zstandard
-dictionaries are trained: an ordinary one on windows of ordinary texts, a toxic one on the words and beginnings of
-words that recur in toxic texts and occur far less in ordinary ones. Each window is compressed with the ordinary dictionary alone and
-with the toxic one before it; the ordinary part is the same, so a window that gains nothing from the toxic
-dictionary has the same length in both, and the gain is the distance. Numbers of windows whose gain reaches the
-thresholds GAINS, relative to their kind, make the features of a logistic regression with the base rate restored, so
-scores are probabilities.
+Texts are put in lower case, each letter becomes four bytes that are a hash of its word up to it (so equal bytes are
+equal beginnings of words, literals are dear and matches cheap, and the first letters that a word doesn't share with the
+ordinary dictionary find their like in the toxic one at once, however far back), and a text is cut at spaces into windows
+of WINDOW words. There are two zstandard dictionaries: an ordinary one trained on windows of ordinary texts, and a toxic
+one, the list of words and beginnings of words that recur in toxic texts and occur far less in ordinary ones. Each window
+is compressed with the ordinary dictionary alone and with the toxic one before it; the ordinary part is the same, so a
+window that gains nothing from the toxic dictionary has the same length in both, and the gain is the distance. Numbers of
+windows whose gain reaches the thresholds GAINS make the features of a logistic regression with the base rate restored,
+so scores are probabilities, and repeated words tell more than a single one.
 
 The fit uses at most TRAIN_TOXIC and TRAIN_ORDINARY labelled rows and TRAIN_BYTES bytes of text; scoring reads every whole
 text, one at a time, without any shuffle.
@@ -31,19 +32,29 @@ from gridloom.llm.samples import id_checksum, labelled_sample
 
 WINDOW = 8
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 12
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 14
 GAINS = (2, 4, 6, 10)
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 24_000_000
 #: A word, or a beginning of so many letters, of the toxic dictionary occurs in so many toxic texts at least, and in so
 #: many times the ordinary texts' share.
-BEGINNINGS = (4, 5, 6, 7)
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 5
+BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.018, 20
 THRESHOLD = 0.7
 
 
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
+#: Words are coded so many at a time.
+CODED = 512 * WINDOW
+
+
 def _wide(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return points * np.uint32(2654435761) + np.uint32(1540483477)
+    """Four bytes for each letter: a hash of its word up to it. text begins with a space."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    at = np.arange(len(points))
+    start = np.maximum.accumulate(np.where(points == 32, at, 0))
+    total = np.cumsum((points + np.uint64(7)) * _POWERS[np.minimum(at - start, len(_POWERS) - 1)], dtype=np.uint64)
+    own = (total - np.where(start > 0, total[start - 1], np.uint64(0))) * np.uint64(0xD6E8FEB86659FD93)
+    return (own ^ (own >> np.uint64(32))).astype(np.uint32)
 
 
 _SPACE = _wide(" ")[0]
@@ -51,14 +62,15 @@ _SPACE = _wide(" ")[0]
 
 def windows(text: str | None) -> list[bytes]:
     words = (text or "").lower().split()
-    if not words:
-        return []
-    wide = _wide(" " + " ".join(words) + " ")
-    cuts = np.flatnonzero(wide == _SPACE)
-    starts = cuts[:-1:WINDOW]
-    ends = np.append(starts[1:], cuts[-1])
-    raw = wide.tobytes()
-    return [raw[4 * a : 4 * b + 4] for a, b in zip(starts.tolist(), ends.tolist())]
+    out = []
+    for k in range(0, len(words), CODED):
+        wide = _wide(" " + " ".join(words[k : k + CODED]) + " ")
+        cuts = np.flatnonzero(wide == _SPACE)
+        starts = cuts[:-1:WINDOW]
+        ends = np.append(starts[1:], cuts[-1])
+        raw = wide.tobytes()
+        out += [raw[4 * a : 4 * b + 4] for a, b in zip(starts.tolist(), ends.tolist())]
+    return out
 
 
 def units(text: str) -> set[str]:
@@ -120,19 +132,19 @@ class ToxicityModel:
             return
         normal = [t for t, k in zip(texts, y) if not k]
         bad = [t for t, k in zip(texts, y) if k]
-        found = [units(t) for t in bad]
-        seen = Counter(u for own in found for u in own)
+        seen = Counter(u for t in bad for u in units(t))
         least = max(LEAST_DOCS, LEAST_SHARE * len(bad))
         often = {u for u, n in seen.items() if n >= least} or set(seen)
         plain = Counter(u for t in normal for u in often & units(t))
         telling = {u for u in often if seen[u] / len(bad) >= LEAST_RATIO * plain[u] / len(normal)}
-        own = [_wide(u).tobytes() for some in found for u in sorted(some & telling)] or [_wide("  ").tobytes()]
+        inner = {u[:k] for u in telling for k in range(2, len(u))}
+        own = b"".join(_wide(u).tobytes() for u in sorted(telling - inner, key=lambda u: (-seen[u], u)))
         ends = np.cumsum([0, *(-(-len(t.split()) // WINDOW) for t in normal)])
         pick = np.sort(np.random.default_rng(0).permutation(int(ends[-1]))[:30_000])
         parts = np.split(pick, np.searchsorted(pick, ends[1:-1]))
         some = [cut[i] for t, a, own in zip(normal, ends, parts) if len(own) for cut in [windows(t)] for i in own - a]
         self.ordinary = _dictionary(ORDINARY_BYTES, some)
-        self.toxic = _dictionary(TOXIC_BYTES, own)
+        self.toxic = own[:TOXIC_BYTES] or _wide("  ").tobytes()
         x = np.array([features(t, self.ordinary, self.toxic) for t in texts])
         share = {k: counts[k] / total / max(1, (y == k).sum()) for k in (0, 1)}
         self.beta = fit_logistic(x, y, np.where(y == 1, share[1], share[0]))

@@ -27,10 +27,30 @@ def held_out(spark, name, label):
 
 def test_toxicity_held_out(spark):
     score, predicted, y = held_out(spark, "op7_compression_toxicity", "toxic")
-    assert auc(score, y) > 0.68  # half of the labels don't follow from the text
+    assert auc(score, y) > 0.68
     assert predicted[y == 0].mean() < 0.02 and (y[predicted == 1] == 1).mean() > 0.8 and predicted[y == 1].mean() > 0.3
 
 
+def test_toxicity_held_out_in_every_language(spark):
+    """Labels follow word beginnings of each language that ordinary texts hardly have."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in QUERIES["op7_compression_toxicity"](spark, LARGER).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic = Counter(langs[r["doc_id"]] for r in rows if labels[r["doc_id"]])
+    found = Counter(langs[r["doc_id"]] for r in rows if labels[r["doc_id"]] and r["predicted"])
+    assert len(toxic) == 4 and all(found[k] >= 0.4 * n for k, n in toxic.items()), (found, toxic)
+    assert found.total() >= 0.7 * toxic.total()
+    assert sum(r["predicted"] for r in rows if not labels[r["doc_id"]]) <= 2
+
+
+def test_letters_are_coded_by_their_word_so_far():
+    a, b = toxicity._wide(" stark start "), toxicity._wide(" start art ")
+    assert (a[:5] == a[6:11]).all() and a[5] != a[11] and (a[6:12] == b[:6]).all()
+    assert not set(b[7:10].tolist()) & set(b[1:6].tolist())
+    text = " ".join(f"w{i}" for i in range(toxicity.CODED + 9))
+    assert b"".join(w[:-4] for w in toxicity.windows(text)) == toxicity._wide(f" {text}").tobytes()
+
+
 def test_quality_held_out(spark):
     score, predicted, y = held_out(spark, "op10_random_indexing_quality", "quality")
     assert auc(score, y) > 0.95

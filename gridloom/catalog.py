@@ -660,7 +660,7 @@ SELECT p.idx, coalesce(b.id, 0)::INTEGER AS cluster FROM p LEFT JOIN (SELECT e.i
 
 @query(_DB)
 def dbscan(spark, sf_dir):
-    p = table(spark, sf_dir, "customer").where("c_custkey < 1500").select(F.col("c_custkey").alias("idx"), F.array(F.col("c_acctbal") / 100, F.col("c_nationkey").cast("double")).alias("v"))
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.array(F.col("c_acctbal") / 100, F.col("c_nationkey").cast("double")).alias("v"))
     return cluster.dbscan(p, "v", 1.0, 3, 2).select("idx", "cluster")
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import catalog
 from gridloom.functions import orientation, scalar
 from gridloom.functions.calculator import CalculatorError, calculate
 from gridloom.grid import FACES, Grid
@@ -320,3 +321,27 @@ def test_stream(spark, tmp_path):
     assert spark.table("out").count() == 3
     with pytest.raises(PipelineError):
         stateless.on_stream(Pipeline([{"filter": "standardize", "args": {"column": "a"}}]), stream)
+
+
+def test_dbscan_query_takes_all_customers(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    keys = [*range(0, 40), *range(1480, 1520), *range(9000, 9060)]
+    at = {k: (round(float(b), 2), int(n)) for k, b, n in zip(keys, rng.uniform(-1000, 4000, len(keys)), rng.integers(0, 6, len(keys)))}
+    spark.createDataFrame([(k, *v) for k, v in at.items()], "c_custkey long, c_acctbal double, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["idx"]: r["cluster"] for r in catalog.queries()["dbscan"](spark, str(tmp_path)).collect()}
+    d = {(a, b): math.hypot(at[a][0] / 100 - at[b][0] / 100, at[a][1] - at[b][1]) for a in keys for b in keys}
+    core = [a for a in keys if sum(d[a, b] < 1 for b in keys) >= 3]
+    want, clusters = dict.fromkeys(keys, 0), 0
+    for a in core:
+        if not want[a]:
+            clusters += 1
+            todo = [a]
+            while todo:
+                x = todo.pop()
+                if not want[x]:
+                    want[x] = clusters
+                    todo += [b for b in core if d[x, b] < 1]
+    for a in set(keys) - set(core):
+        near = [(d[a, b], b) for b in core if d[a, b] < 1]
+        want[a] = want[min(near)[1]] if near else 0
+    assert clusters > 1 and any(want[k] for k in keys if k >= 1500) and got == want

@@ -635,7 +635,7 @@ def k_means_assignment(spark, sf_dir):
 
 @query()
 def k_means(spark, sf_dir):
-    return cluster.k_means(_vectors(spark, sf_dir), "v", 4, iterations=10)[0].select("idx", "cluster")
+    return cluster.k_means(_vectors(spark, sf_dir), "v", 4)[0].select("idx", "cluster")
 
 
 @query()

@@ -345,3 +345,17 @@ def test_dbscan_query_takes_all_customers(spark, tmp_path):
         near = [(d[a, b], b) for b in core if d[a, b] < 1]
         want[a] = want[min(near)[1]] if near else 0
     assert clusters > 1 and any(want[k] for k in keys if k >= 1500) and got == want
+
+
+def test_k_means_query_runs_until_centres_stay(spark):
+    where = "/root/testdata/sf0.01"
+    got = {r["idx"]: r["cluster"] for r in catalog.queries()["k_means"](spark, where).collect()}
+    vectors = {r["idx"]: np.array(r["v"], dtype=float) for r in catalog._vectors(spark, where).collect()}
+    centres = np.array([np.mean([v for i, v in vectors.items() if got[i] == k], axis=0) for k in range(1, 5)])
+    assert all(np.linalg.norm(centres - v, axis=1).argmin() + 1 == got[i] for i, v in vectors.items())
+
+
+def test_k_means_raises_when_centres_still_move(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "idx long, v array<double>")
+    with pytest.raises(RuntimeError):
+        cluster.k_means(df, "v", 2, iterations=1, centres=[[0.0], [1.0]])

@@ -332,8 +332,18 @@ def iterative_closest_point(moving: DataFrame, target: DataFrame, iterations: in
     return now, total
 
 
+def every_pair(few: DataFrame, many: DataFrame, blocks: int = 32) -> DataFrame:
+    """Every row of few with every row of many, which is dealt to blocks by its content, so that no task holds all of it."""
+    a = few.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = many.withColumn("_block", F.pmod(F.xxhash64(*many.columns), F.lit(blocks)).cast("int"))
+    return a.join(b, "_block").drop("_block")
+
+
 def nearest_points(points: DataFrame, target: DataFrame, width: float, most: int = 40) -> DataFrame:
-    """points (idx, x, y, z) with nx, ny, nz, the nearest target, and their distance; ring by ring of hash-grid cells."""
+    """points (idx, x, y, z) with nx, ny, nz, the nearest target, and their distance; ring by ring of hash-grid cells.
+
+    Points that are not sure of their nearest target within most rings are compared with all targets, block by block.
+    """
     at = lambda df: df.withColumns({f"_c{a}": F.floor(F.col(a) / width) for a in "xyz"})
     t = cut(at(target.select("x", "y", "z")).select(*(F.col(a).alias(f"n{a}") for a in "xyz"), "_cx", "_cy", "_cz"))
     left = cut(at(points))
@@ -346,10 +356,13 @@ def nearest_points(points: DataFrame, target: DataFrame, width: float, most: int
         d = F.sqrt(sum((F.col(a) - F.col(f"n{a}")) ** 2 for a in "xyz"))
         best = near.join(t, ["_cx", "_cy", "_cz"]).groupBy("idx").agg(F.min(F.struct(d.alias("d"), "nx", "ny", "nz")).alias("b"))
         got = cut(left.join(best, "idx", "left").withColumn("_ok", F.col("b.d") <= reach * width))
-        sure = got.where("_ok") if reach < most else got.where("b is not null")
-        part = sure.select(*points.columns, "b.nx", "b.ny", "b.nz", F.col("b.d").alias("distance"))
+        part = got.where("_ok").select(*points.columns, "b.nx", "b.ny", "b.nz", F.col("b.d").alias("distance"))
         done = part if done is None else done.unionByName(part)
         left = cut(got.where(~F.coalesce("_ok", F.lit(False))).select(*left.columns))
-        if reach >= most or left.isEmpty():
+        if left.isEmpty():
             return done
+        if reach >= most:
+            pairs = every_pair(left.select(*points.columns), t.select("nx", "ny", "nz")).withColumn("_d", d).where("_d is not null")
+            best = pairs.groupBy("idx").agg(F.min(F.struct(F.col("_d").alias("d"), "nx", "ny", "nz")).alias("b"))
+            return done.unionByName(left.join(best, "idx").select(*points.columns, "b.nx", "b.ny", "b.nz", F.col("b.d").alias("distance")))
         reach = min(most, reach * 3)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import uniform
 from gridloom.grid import Grid, face_pairs
+from gridloom.operators.iterate import every_pair
 from gridloom.operators.threshold import ranks
 from gridloom.session import cut
 
@@ -306,10 +307,12 @@ def vertex_triangle_distances(points: DataFrame, triangles: DataFrame, vertices:
     """(idx, distance, triangle): the nearest triangle of each point, negative behind its winding.
 
     Triangles are listed in all cells of a hash grid that their boxes touch; points look in rings of cells that grow until the
-    nearest triangle is surely among them.
+    nearest triangle is surely among them; points that are not sure of theirs within most rings are compared with all
+    triangles, block by block.
     """
     p = _points()
     t = with_corners(triangles, vertices).select(F.col("idx").alias("triangle"), "p0", "p1", "p2")
+    every = t
     for k, a in enumerate("xyz"):
         lo, hi = F.floor(F.least(*(c[k] for c in p)) / width), F.floor(F.greatest(*(c[k] for c in p)) / width)
         t = t.withColumn(f"_c{a}", F.explode(F.sequence(lo, hi)))
@@ -323,9 +326,13 @@ def vertex_triangle_distances(points: DataFrame, triangles: DataFrame, vertices:
         d = _to_triangle([F.col(a) for a in "xyz"])
         best = near.join(t, ["_cx", "_cy", "_cz"]).withColumn("_d", d).groupBy("idx").agg(F.min(F.struct(F.abs("_d").alias("m"), F.col("triangle"), F.col("_d").alias("d"))).alias("b"))
         got = cut(left.join(best, "idx", "left").withColumn("_ok", F.col("b.m") <= reach * width))
-        part = (got.where("_ok") if reach < most else got.where("b is not null")).select("idx", F.col("b.d").alias("distance"), F.col("b.triangle").alias("triangle"))
+        part = got.where("_ok").select("idx", F.col("b.d").alias("distance"), F.col("b.triangle").alias("triangle"))
         done = part if done is None else done.unionByName(part)
         left = cut(got.where(~F.coalesce("_ok", F.lit(False))).select(*left.columns))
-        if reach >= most or left.isEmpty():
+        if left.isEmpty():
             return done
+        if reach >= most:
+            pairs = every_pair(left.select("idx", "x", "y", "z"), every).withColumn("_d", d).where("_d is not null")
+            best = pairs.groupBy("idx").agg(F.min(F.struct(F.abs("_d").alias("m"), F.col("triangle"), F.col("_d").alias("d"))).alias("b"))
+            return done.unionByName(best.select("idx", F.col("b.d").alias("distance"), F.col("b.triangle").alias("triangle")))
         reach = min(most, 3 * reach)

@@ -359,3 +359,14 @@ def test_k_means_raises_when_centres_still_move(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "idx long, v array<double>")
     with pytest.raises(RuntimeError):
         cluster.k_means(df, "v", 2, iterations=1, centres=[[0.0], [1.0]])
+
+
+def test_far_points_find_their_nearest(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 9.0), (4, 1.0, 0.0, 9.0), (5, 0.0, 1.0, 9.0)], "idx long, x double, y double, z double")
+    t = spark.createDataFrame([(0, 0, 1, 2), (1, 3, 4, 5)], "idx long, v0 long, v1 long, v2 long")
+    points = spark.createDataFrame([(0, 0.2, 0.2, 0.5), (1, 0.2, 0.2, 500.0), (2, 0.2, 0.2, -300.0)], "idx long, x double, y double, z double")
+    got = {r["idx"]: (r["distance"], r["triangle"]) for r in mesh.vertex_triangle_distances(points, t, v, 1.0, most=2).collect()}
+    assert got == {0: (0.5, 0), 1: (491.0, 1), 2: (-300.0, 0)}
+    near = {r["idx"]: (r["nz"], r["distance"]) for r in iterate.nearest_points(points, v, 1.0, most=2).collect()}
+    assert {i: n for i, (n, _) in near.items()} == {0: 0.0, 1: 9.0, 2: 0.0}
+    assert math.isclose(near[1][1], math.sqrt(0.08 + 491.0**2))

@@ -1,25 +1,28 @@
 """Toxicity by compression distance.
 
-Texts are put in lower case, each letter becomes four bytes that are a hash of its word up to it (so equal bytes are
-equal beginnings of words, literals are dear and matches cheap, and the first letters that a word doesn't share with the
-ordinary dictionary find their like in the toxic one at once, however far back), and a text is cut at spaces into windows
-of WINDOW words. There are two zstandard dictionaries: an ordinary one trained on windows of ordinary texts, and a toxic
-one, the list of words and beginnings of words that recur in toxic texts and occur far less in ordinary ones. Each window
-is compressed with the ordinary dictionary alone and with the toxic one before it; the ordinary part is the same, so a
-window that gains nothing from the toxic dictionary has the same length in both, and the gain is the distance. Numbers of
-windows whose gain reaches the thresholds GAINS make the features of a logistic regression with the base rate restored,
-so scores are probabilities, and repeated words tell more than a single one.
-
-The fit uses at most TRAIN_TOXIC and TRAIN_ORDINARY labelled rows and TRAIN_BYTES bytes of text; scoring reads every whole
-text, one at a time, without any shuffle.
-
-Defined cases: a null text counts as empty and has no windows; without both kinds of labels the score is the share
-of toxic labels (0 without any); repeated rows score alike; other columns are untouched; an empty table gives no rows.
+Texts are put in lower case and cut into windows of one word with the spaces around it; each letter becomes four bytes, a
+hash of its word up to it, so equal bytes are equal beginnings of words and literals are dear. Three zstandard dictionaries are
+trained by the library's trainer on windows as they come, without any choice of words: an ordinary one on windows of ordinary
+texts, a first toxic one on all windows of toxic texts, and a second toxic one on those windows of toxic texts which the
+first shortens most against the ordinary one (few windows of a toxic text are toxic). A window's gains are its compressed
+lengths under the ordinary dictionary less those under either toxic one. Thresholds are quantiles of the gains in ordinary
+texts; the numbers of windows at or above them are the features of a logistic regression with the base rate
+restored, so scores are probabilities. Dictionaries are small, so that they hold what is frequent.
+
+The fit uses at most most_toxic and most_ordinary labelled rows, most_bytes bytes of text and TRAINED windows a dictionary.
+FOLDS + 1 tasks train on it, the last one on all rows; the others score the rows that they left out, which calibrates the
+thresholds and weights on windows that no dictionary has seen. Only dictionaries and counts of gains come back to the driver.
+Scoring reads every whole text, one at a time, without any shuffle; equal windows are compressed once a task as far as
+REMEMBERED of them go.
+
+Defined cases: a null text counts as empty and has no windows; a very long text is one row of counts, whatever its length;
+without both kinds of labels the score is the share of toxic labels (0 without any); repeated rows and ties score alike;
+score is an expression, so other columns stay as they are, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,82 +33,108 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.samples import id_checksum, labelled_sample
 
-WINDOW = 8
 LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 14
-GAINS = (2, 4, 6, 10)
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 13
+#: Windows that train a dictionary, evenly spread over the sample; windows of toxic texts that train the second one gain as
+#: much as this share of ordinary ones doesn't.
+TRAINED, KEPT_SHARE = 240_000, 0.98
+QUANTILES = (0.9, 0.99, 0.997, 0.999, 0.9997, 0.9999)
+#: Gains are counted up to this many bytes; larger ones count as this many.
+MOST_GAIN = 63
+FOLDS = 3
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 24_000_000
-#: A word, or a beginning of so many letters, of the toxic dictionary occurs in so many toxic texts at least, and in so
-#: many times the ordinary texts' share.
-BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.018, 20
+REMEMBERED = 300_000
 THRESHOLD = 0.7
 
-
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
-#: Words are coded so many at a time.
-CODED = 512 * WINDOW
-
 
-def _wide(text: str) -> np.ndarray:
-    """Four bytes for each letter: a hash of its word up to it. text begins with a space."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    at = np.arange(len(points))
-    start = np.maximum.accumulate(np.where(points == 32, at, 0))
-    total = np.cumsum((points + np.uint64(7)) * _POWERS[np.minimum(at - start, len(_POWERS) - 1)], dtype=np.uint64)
-    own = (total - np.where(start > 0, total[start - 1], np.uint64(0))) * np.uint64(0xD6E8FEB86659FD93)
-    return (own ^ (own >> np.uint64(32))).astype(np.uint32)
 
+def coded(found: list[str]) -> list[bytes]:
+    """The window of each word: four bytes for each letter and the spaces around it, a hash of the word up to it."""
+    out = []
+    for k in range(0, len(found), 4096):
+        text = f" {'  '.join(found[k : k + 4096])} "
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        ends = np.cumsum([len(w) + 2 for w in found[k : k + 4096]])
+        starts = ends - np.diff(ends, prepend=0)
+        begin = np.repeat(starts, ends - starts)
+        total = np.cumsum((points + np.uint64(7)) * _POWERS[np.minimum(np.arange(len(points)) - begin, len(_POWERS) - 1)], dtype=np.uint64)
+        own = (total - np.where(begin > 0, total[begin - 1], np.uint64(0))) * np.uint64(0xD6E8FEB86659FD93)
+        raw = (own ^ (own >> np.uint64(32))).astype(np.uint32).tobytes()
+        out += [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+    return out
 
-_SPACE = _wide(" ")[0]
 
+def words(text: str | None) -> list[str]:
+    return (text or "").lower().split()
 
-def windows(text: str | None) -> list[bytes]:
-    words = (text or "").lower().split()
-    out = []
-    for k in range(0, len(words), CODED):
-        wide = _wide(" " + " ".join(words[k : k + CODED]) + " ")
-        cuts = np.flatnonzero(wide == _SPACE)
-        starts = cuts[:-1:WINDOW]
-        ends = np.append(starts[1:], cuts[-1])
-        raw = wide.tobytes()
-        out += [raw[4 * a : 4 * b + 4] for a, b in zip(starts.tolist(), ends.tolist())]
-    return out
 
+@lru_cache(maxsize=16)
+def _compressor(content: bytes):
+    shared = zstandard.ZstdCompressionDict(content)
+    shared.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-def units(text: str) -> set[str]:
-    """The text's different words, and their beginnings, as they stand behind a space."""
-    out = set()
-    for w in set(text.lower().split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in BEGINNINGS if len(w) > k)
-    return out
 
+class Gains:
+    """The gains of words, under each toxic dictionary; found when first asked for."""
 
-@lru_cache(maxsize=4)
-def _compressors(ordinary: bytes, toxic: bytes):
-    made = []
-    for content in (ordinary, toxic + ordinary):
-        shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        shared.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-    return made
+    def __init__(self, ordinary: bytes, toxic: list[bytes]):
+        self.ordinary, self.toxic = _compressor(ordinary), [_compressor(t) for t in toxic]
+        self.known: dict[str, int] = {}
 
+    def of(self, found: list[str]) -> np.ndarray:
+        """A number for each word, six bits for each toxic dictionary."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set(found).difference(self.known))
+        for word, window in zip(new, coded(new)):
+            plain, code = len(self.ordinary(window)), 0
+            for k, squeeze in enumerate(self.toxic):
+                code |= min(MOST_GAIN, max(0, plain - len(squeeze(window)))) << (6 * k)
+            self.known[word] = code
+        return np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
 
-def features(text: str | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
-    plain, with_toxic = _compressors(ordinary, toxic)
-    cut = windows(text)
-    gains = np.fromiter((len(plain(w)) - len(with_toxic(w)) for w in cut), dtype=np.int64, count=len(cut))
-    return np.array([np.log1p((gains >= g).sum()) for g in GAINS] + [np.log1p(len(cut)) / 10])
+    def counts(self, text: str | None) -> np.ndarray:
+        """How many windows have each gain: one row of MOST_GAIN + 1 numbers for each toxic dictionary."""
+        total = np.zeros((len(self.toxic), MOST_GAIN + 1), dtype=np.int64)
+        found = words(text)
+        for at in range(0, len(found), REMEMBERED):
+            codes = self.of(found[at : at + REMEMBERED])
+            for k in range(len(self.toxic)):
+                total[k] += np.bincount(codes >> (6 * k) & MOST_GAIN, minlength=MOST_GAIN + 1)
+        return total
 
 
-def _dictionary(size: int, samples: list[bytes]) -> bytes:
+def dictionary(size: int, samples: list[bytes]) -> bytes:
+    """A trained dictionary; the samples themselves where they are too few for the trainer."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer
+    except zstandard.ZstdError:
         return b"".join(samples)[-size:].ljust(8, b"\0")
 
 
+def _spread(texts: list[str], most: int) -> Iterator[str]:
+    """Words of the texts, evenly spread, most of them at the utmost."""
+    every = max(1, -(-sum(len(words(t)) for t in texts) // most))
+    at = 0
+    for text in texts:
+        found = words(text)
+        yield from found[-at % every :: every]
+        at += len(found)
+
+
+def train(ordinary: list[str], toxic: list[str]) -> tuple[bytes, list[bytes]]:
+    """The ordinary dictionary and the two toxic ones of the texts."""
+    usual, seen = list(_spread(ordinary, TRAINED)), list(_spread(toxic, TRAINED))
+    windows = coded(seen)
+    plain, first = dictionary(ORDINARY_BYTES, coded(usual)), dictionary(TOXIC_BYTES, windows)
+    gains = Gains(plain, [first])
+    least = max(1, np.quantile(gains.of(usual), KEPT_SHARE)) if usual else 1
+    kept = [w for w, gain in zip(windows, gains.of(seen).tolist()) if gain >= least]
+    return plain, [first, dictionary(TOXIC_BYTES, kept)]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Coefficients, the last one constant, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -122,51 +151,78 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 class ToxicityModel:
-    """Two dictionaries and the coefficients of their features."""
+    """Dictionaries, thresholds of the gains and the coefficients of the counts."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, counts: dict[int, int]):
-        total = sum(counts.values())
-        self.rate = counts.get(1, 0) / total if total else 0.0
-        self.beta = None
-        if len(set(y.tolist())) < 2:
+    def __init__(self, rate: float, ordinary: bytes = b"", toxic: list[bytes] | None = None, counts: np.ndarray | None = None, y: np.ndarray | None = None, weight: np.ndarray | None = None):
+        """counts: rows by dictionaries by gains, each row's under dictionaries that haven't seen it."""
+        self.rate, self.beta = rate, None
+        if counts is None:
             return
-        normal = [t for t, k in zip(texts, y) if not k]
-        bad = [t for t, k in zip(texts, y) if k]
-        seen = Counter(u for t in bad for u in units(t))
-        least = max(LEAST_DOCS, LEAST_SHARE * len(bad))
-        often = {u for u, n in seen.items() if n >= least} or set(seen)
-        plain = Counter(u for t in normal for u in often & units(t))
-        telling = {u for u in often if seen[u] / len(bad) >= LEAST_RATIO * plain[u] / len(normal)}
-        inner = {u[:k] for u in telling for k in range(2, len(u))}
-        own = b"".join(_wide(u).tobytes() for u in sorted(telling - inner, key=lambda u: (-seen[u], u)))
-        ends = np.cumsum([0, *(-(-len(t.split()) // WINDOW) for t in normal)])
-        pick = np.sort(np.random.default_rng(0).permutation(int(ends[-1]))[:30_000])
-        parts = np.split(pick, np.searchsorted(pick, ends[1:-1]))
-        some = [cut[i] for t, a, own in zip(normal, ends, parts) if len(own) for cut in [windows(t)] for i in own - a]
-        self.ordinary = _dictionary(ORDINARY_BYTES, some)
-        self.toxic = own[:TOXIC_BYTES] or _wide("  ").tobytes()
-        x = np.array([features(t, self.ordinary, self.toxic) for t in texts])
-        share = {k: counts[k] / total / max(1, (y == k).sum()) for k in (0, 1)}
-        self.beta = fit_logistic(x, y, np.where(y == 1, share[1], share[0]))
-
-    def score(self, text: str | None) -> float:
-        if self.beta is None:
+        self.ordinary, self.toxic = ordinary, toxic
+        usual = counts[y == 0].sum(axis=0).cumsum(axis=1)
+        self.thresholds = [sorted({max(1, int(np.searchsorted(row, q * row[-1]))) for q in QUANTILES}) for row in usual]
+        self.beta = fit_logistic(np.array([self.features(c) for c in counts]), y, weight)
+
+    def features(self, counts: np.ndarray) -> np.ndarray:
+        reach = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
+        return np.concatenate([*(np.log1p(row[cuts]) for row, cuts in zip(reach, self.thresholds)), [np.log1p(counts[0].sum()) / 10]])
+
+    def gains(self) -> Gains | None:
+        return None if self.beta is None else Gains(self.ordinary, self.toxic)
+
+    def score(self, text: str | None, gains: Gains | None) -> float:
+        if gains is None:
             return self.rate
-        z = float(features(text, self.ordinary, self.toxic) @ self.beta[:-1] + self.beta[-1])
+        z = float(self.features(gains.counts(text)) @ self.beta[:-1] + self.beta[-1])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def _trained(sample: DataFrame) -> DataFrame:
+    """(part, doc_id, label, counts, dictionaries): what each part's dictionaries say of the rows that they left out."""
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(FOLDS)).cast("int")
+    copies = sample.withColumn("fold", fold).withColumn("part", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        part = int(rows["part"].iloc[0])
+        own = rows[rows["fold"] != part]
+        ordinary, toxic = train(own["text"][own["label"] == 0].tolist(), own["text"][own["label"] == 1].tolist())
+        if part == FOLDS:
+            return pd.DataFrame({"part": [part], "doc_id": [None], "label": [None], "counts": [None], "dictionaries": [[ordinary, *toxic]]})
+        rest = rows[rows["fold"] == part]
+        gains = Gains(ordinary, toxic)
+        counts = [gains.counts(t).ravel().tolist() for t in rest["text"]]
+        return pd.DataFrame({"part": part, "doc_id": rest["doc_id"], "label": rest["label"], "counts": counts, "dictionaries": None})
+
+    # a range for each part, so that they are trained side by side
+    return copies.repartitionByRange(FOLDS + 1, "part").groupBy("part").applyInPandas(run, "part int, doc_id long, label int, counts array<long>, dictionaries array<binary>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = TRAIN_TOXIC, most_ordinary: int = TRAIN_ORDINARY, most_bytes: int = TRAIN_BYTES) -> ToxicityModel:
     """A model of labels.toxic, learned from rows that are not held out."""
     allowed = F.pmod(id_checksum("doc_id"), F.lit(3)) != 1
-    sample, counts = labelled_sample(docs, labels, "toxic", allowed, {0: TRAIN_ORDINARY, 1: TRAIN_TOXIC}, TRAIN_BYTES, id_col, text_col)
-    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    return ToxicityModel([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), counts)
+    sample, counts = labelled_sample(docs, labels, "toxic", allowed, {0: most_ordinary, 1: most_toxic}, most_bytes, id_col, text_col)
+    total = sum(counts.values())
+    rate = counts.get(1, 0) / total if total else 0.0
+    # a row of counts for each row of the sample, and the last part's dictionaries
+    rows = _trained(sample).collect() if min(counts.get(0, 0), counts.get(1, 0)) else []
+    seen = sorted((r for r in rows if r["counts"] is not None), key=lambda r: r["doc_id"])
+    y = np.array([r["label"] for r in seen], dtype=np.int64)
+    if len(set(y.tolist())) < 2:
+        return ToxicityModel(rate)
+    share = {k: counts[k] / total / (y == k).sum() for k in (0, 1)}
+    ordinary, *toxic = next(bytes_of for r in rows if (bytes_of := r["dictionaries"]))
+    found = np.array([r["counts"] for r in seen]).reshape(len(seen), len(toxic), MOST_GAIN + 1)
+    return ToxicityModel(rate, bytes(ordinary), [bytes(t) for t in toxic], found, y, np.where(y == 1, share[1], share[0]))
 
 
 def score(model: ToxicityModel, text: Column) -> Column:
+    """The probability that a text is toxic; the model, 40 KB, is sent with the function."""
+
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        gains = model.gains()
+        for texts in batches:
+            yield pd.Series([model.score(t, gains) for t in texts], dtype="float64")
 
     return scored(text)

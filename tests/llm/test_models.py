@@ -2,13 +2,17 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import mixing, minhash, packing, pii, quality, toxicity
+from gridloom.llm.samples import labelled_sample
 from tests.llm.common import DIR, QUERIES, awkward, empty, with_tables
 
 LARGER = "/root/testdata/sf0.1"
@@ -43,12 +47,64 @@ def test_toxicity_held_out_in_every_language(spark):
     assert sum(r["predicted"] for r in rows if not labels[r["doc_id"]]) <= 2
 
 
+def plain_window(word):
+    """Four bytes for each letter: a hash of the word up to it."""
+    out, total, power = b"", 0, 1
+    for c in f" {word} ":
+        power = power * 0x9E3779B97F4A7C15 % 2**64
+        total = (total + (ord(c) + 7) * power) % 2**64
+        own = total * 0xD6E8FEB86659FD93 % 2**64
+        out += ((own ^ own >> 32) % 2**32).to_bytes(4, "little")
+    return out
+
+
 def test_letters_are_coded_by_their_word_so_far():
-    a, b = toxicity._wide(" stark start "), toxicity._wide(" start art ")
-    assert (a[:5] == a[6:11]).all() and a[5] != a[11] and (a[6:12] == b[:6]).all()
-    assert not set(b[7:10].tolist()) & set(b[1:6].tolist())
-    text = " ".join(f"w{i}" for i in range(toxicity.CODED + 9))
-    assert b"".join(w[:-4] for w in toxicity.windows(text)) == toxicity._wide(f" {text}").tobytes()
+    found = ["stark", "start", "art", "naïve", "🙂", "x" * 50, *(f"w{i}" for i in range(5000))]
+    made = toxicity.coded(found)
+    assert made == [plain_window(w) for w in found]
+    assert made[0][:20] == made[1][:20] and made[0][20:24] != made[1][20:24] and toxicity.coded([]) == []
+
+
+def plain_length(word, content):
+    shared = zstandard.ZstdCompressionDict(content)
+    return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress(plain_window(word)))
+
+
+def test_toxicity_against_a_plain_program(spark):
+    """Dictionaries come from the trainer alone, and scores are those of a program that compresses word by word."""
+    rng = np.random.default_rng(4)
+    usual = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rt", "st", "m")]
+    bad = [f"vex{c}{d}" for c in "aeiou" for d in ("l", "mp", "g")]
+    texts = [" ".join([*rng.choice(usual, 60), *(rng.choice(bad, 4) if k % 4 == 0 else [])]) for k in range(400)]
+    docs = spark.createDataFrame([(k, t, 7.0) for k, t in enumerate(texts)], "doc_id long, text string, counts double")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    learned = [k for k in range(400) if zlib.crc32(str(k).encode()) % 3 != 1]
+    ordinary, (first, second) = toxicity.train([texts[k] for k in learned if k % 4], [texts[k] for k in learned if k % 4 == 0])
+    assert (model.ordinary, model.toxic) == (ordinary, [first, second])
+    windows = [plain_window(w) for k in learned if k % 4 == 0 for w in texts[k].split()]
+    assert first == zstandard.train_dictionary(toxicity.TOXIC_BYTES, windows).as_bytes()
+    rows = docs.select("*", toxicity.score(model, docs["text"]).alias("score")).collect()
+    assert rows[0]["counts"] == 7.0
+    for r in rows[:40]:
+        x = []
+        for dictionary, cuts in zip((first, second), model.thresholds):
+            gains = [plain_length(w, ordinary) - plain_length(w, dictionary) for w in r["text"].split()]
+            x += [np.log1p(sum(g >= cut for g in gains)) for cut in cuts]
+        x.append(np.log1p(len(r["text"].split())) / 10)
+        assert abs(r["score"] - 1 / (1 + np.exp(-(np.dot(x, model.beta[:-1]) + model.beta[-1])))) < 1e-9
+    away = [r for r in rows if r["doc_id"] not in set(learned)]
+    assert auc(np.array([r["score"] for r in away]), np.array([int(r["doc_id"] % 4 == 0) for r in away])) > 0.95
+
+
+def test_samples_take_long_texts_as_often_as_short_ones(spark):
+    """A text that no longer fits ends the sample; later short ones don't take its place."""
+    rows = [(k, "x" * (100 if k % 2 else 10)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(400)], "doc_id long, toxic int")
+    sample, counts = labelled_sample(docs, labels, "toxic", F.lit(True), {1: 1000}, 5000)
+    found = [len(r["text"]) for r in sample.collect()]
+    assert counts == {1: 400} and 4890 < sum(found) <= 5000 and 0.3 < np.mean([n == 100 for n in found]) < 0.7
 
 
 def test_quality_held_out(spark):
@@ -149,7 +205,8 @@ def test_pipeline_stage_by_stage(spark):
     columns = docs.columns
     kept = stages["toxicity"](spark, docs, DIR).cache()
     model = toxicity.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
-    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect() if model.score(r["text"]) < toxicity.THRESHOLD}
+    gains = model.gains()
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect() if model.score(r["text"], gains) < toxicity.THRESHOLD}
     single = stages["minhash near-dedup"](spark, kept, DIR).cache()
     classes = minhash.near_duplicate_classes(kept).collect()
     assert sorted(r["doc_id"] for r in single.collect()) == sorted({r["class_id"] for r in classes})
@@ -177,8 +234,8 @@ def test_pipeline_stands_awkward_rows(spark, tmp_path):
 
 
 def test_words_and_windows():
-    assert toxicity.windows(None) == toxicity.windows(" ") == []
-    assert len(toxicity.windows("a b c d e f g h i")) == 2
+    assert toxicity.words(None) == toxicity.words(" ") == []
+    assert toxicity.words("A b\n c") == ["a", "b", "c"]
     rows, ends = quality.tokens(pa.array(["Hello, WORLD!! 🙂", None, "  ", "x"], pa.string()))
     assert len(rows) == 8 and ends.tolist() == [0, 6, 6, 6, 8]
 

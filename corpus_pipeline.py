@@ -17,8 +17,7 @@ from gridloom.session import table, written
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_score", toxicity.score(model, F.col("text")))
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return docs.where(toxicity.score(model, F.col("text")) < toxicity.THRESHOLD)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,7 +192,7 @@ def _trained(sample: DataFrame) -> DataFrame:
         rest = rows[rows["fold"] == part]
         gains = Gains(ordinary, toxic)
         counts = [gains.counts(t).ravel().tolist() for t in rest["text"]]
-        return pd.DataFrame({"part": part, "doc_id": rest["doc_id"], "label": rest["label"], "counts": counts, "dictionaries": None})
+        return pd.DataFrame({"part": part, "doc_id": rest["doc_id"], "label": rest["label"], "counts": pd.Series(counts, index=rest.index, dtype=object), "dictionaries": None})
 
     # a range for each part, so that they are trained side by side
     return copies.repartitionByRange(FOLDS + 1, "part").groupBy("part").applyInPandas(run, "part int, doc_id long, label int, counts array<long>, dictionaries array<binary>")

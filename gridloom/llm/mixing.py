@@ -6,15 +6,16 @@ is above. That fixed point is a water level: with sources sorted by cap over wei
 cap doesn't cut is the answer, so window sums give it without a loop.
 
 Within a source every document expects rate = target / source size copies. Documents are laid out by size, the
-expected copies are summed from the front, one random offset is added, and a document is emitted once for each
-integer boundary that its share crosses. Of OFFSETS equally spaced turns of the source's random offset, the one whose
-words come nearest to the target is used, which matters where a source holds few long documents.
+expected copies are summed from the front, the source's one random offset is added, and a document is emitted once for each
+integer boundary that its share crosses. As neighbours have nearly equal sizes, the words taken differ from the target by
+about the largest document's size at most, which is a small share unless a source holds few documents.
 
 Ranks within a source are counted in chunks, by (size class, hash), so that a source with a third of all rows is
 spread over many tasks; the number of hash buckets follows the row count.
 
 Defined cases: a null text has size 0; a null source is a source; a source of size 0 has target and rate 0;
-repeated rows are sampled one by one; an empty table gives no rows; ties of size go by hash, then by doc_id.
+repeated rows are sampled one by one; an empty table gives no rows; ties of size go by hash, then by doc_id; a very long
+text is one size among others; repeated carries other columns, whatever their names, in a struct.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from gridloom.session import cut, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
-OFFSETS = 16
 _BUCKET_ROWS = 4096
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 _PAST = (Window.unboundedPreceding, -1)
@@ -81,34 +81,26 @@ def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranked = ranked.join(offsets, (F.col("source").eqNullSafe(F.col("_s"))) & (F.col("_class") == F.col("_c")) & (F.col("_bucket") == F.col("_b")))
     ranked = cut(ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).select("doc_id", "source", "size", *keep, "source_size", "target", "_rate", "_turn", "_rank"))
 
-    def copies(turn: Column) -> Column:
-        at = lambda r: F.floor(r * F.col("_rate") + turn)
-        return at(F.col("_rank")) - at(F.col("_rank") - 1)
-
-    turned = lambda k: F.pmod(F.col("_turn") + k / OFFSETS, F.lit(1.0))
-    sums = ranked.groupBy("source").agg(F.first("target").alias("_t"), *(F.sum(copies(turned(k)) * F.col("size")).alias(f"_w{k}") for k in range(OFFSETS)))
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_w{k}") - F.col("_t")).alias("d"), F.lit(k).alias("k")) for k in range(OFFSETS))))["k"]
-    # one row for each source, as in targets
-    chosen = sums.select(F.col("source").alias("_s"), nearest.alias("_k"))
-    out = ranked.join(chosen, F.col("source").eqNullSafe(F.col("_s")))
-    out = out.withColumn("copies", copies(F.pmod(F.col("_turn") + F.col("_k") / OFFSETS, F.lit(1.0))))
+    at = lambda r: F.floor(r * F.col("_rate") + F.col("_turn"))
+    out = ranked.withColumn("copies", at(F.col("_rank")) - at(F.col("_rank") - 1))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source", *keep)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
     """docs with each row as often as the mix takes it; texts are not shuffled unless the counts are too many to broadcast."""
-    mark = F.xxhash64(*(docs[c] for c in docs.columns))
-    keyed = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"), mark.alias("_mark"))
-    counts = systematic_mix(keyed, "doc_id", "text", "source", seed, ["_mark"])
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    own = docs.select(F.struct(*columns).alias("row"), docs[id_col].alias("id"), F.xxhash64(*columns).alias("mark"))
+    keyed = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"), F.xxhash64(*columns).alias("mark"))
+    counts = systematic_mix(keyed, "doc_id", "text", "source", seed, ["mark"])
     # rows that are equal in full share a mark and their copies; the least of them carries the sum
-    counts = counts.groupBy(F.col("doc_id").alias("_i"), F.col("_mark").alias("_m")).agg(F.sum("copies").cast("long").alias("_copies"), F.count("*").alias("_same"))
+    counts = counts.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sum("copies").cast("long").alias("copies"), F.count("*").alias("same"))
     counts = cut(counts)
-    own = docs.withColumn("_mark", mark)
-    joined = own.join(small(counts), own[id_col].eqNullSafe(counts["_i"]) & (own["_mark"] == counts["_m"]))
-    single = joined.where("_same = 1")
-    again = joined.where("_same > 1").dropDuplicates([id_col, "_mark"])
-    out = single if counts.where("_same > 1").isEmpty() else single.unionByName(again)
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    joined = own.join(small(counts), own["id"].eqNullSafe(counts["_id"]) & (own["mark"] == counts["_mark"]))
+    single = joined.where("same = 1")
+    again = joined.where("same > 1").dropDuplicates(["id", "mark"])
+    out = single if counts.where("same > 1").isEmpty() else single.unionByName(again)
+    out = out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE = """
@@ -133,10 +125,6 @@ WITH base AS (
   SELECT l.doc_id, l.size, l.source, m.source_size, m.target, m.turn, CASE WHEN m.source_size > 0 THEN least(3.0::DOUBLE, m.target / m.source_size) ELSE 0 END AS rate,
     row_number() OVER (PARTITION BY l.source ORDER BY class, bucket, size, doc_id NULLS FIRST) AS r
   FROM laid l JOIN mix m ON l.source IS NOT DISTINCT FROM m.source
-), tried AS (
-  SELECT *, floor(r * rate + (turn + k / 16.0::DOUBLE) % 1.0::DOUBLE) - floor((r - 1) * rate + (turn + k / 16.0::DOUBLE) % 1.0::DOUBLE) AS copies FROM ranked, range(16) t(k)
-), chosen AS (
-  SELECT source, arg_min(k, (d, k)) AS k FROM (SELECT source, k, abs(sum(copies * size) - any_value(target)) AS d FROM tried GROUP BY source, k) GROUP BY source
 )
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM tried JOIN chosen ON tried.source IS NOT DISTINCT FROM chosen.source AND tried.k = chosen.k
+SELECT doc_id, size, source_size, target, ((floor(r * rate + turn) - floor((r - 1) * rate + turn)) * size)::BIGINT AS taken FROM ranked
 """

@@ -84,6 +84,33 @@ def test_keep_one_keeps_columns_and_one_row(spark):
     assert got == Counter([1, 2, 4, 5, None, 8, 9])
 
 
+def test_keep_one_carries_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_id", "_node", "node", "id", "own", "row", "kept", "n", "class_id", "_x"]
+    rows = [(k, "one two three four five six seven" if k < 3 else None, *(f"{c}{k}" for c in names[2:])) for k in range(5)]
+    docs = spark.createDataFrame([*rows, rows[0]], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    out = minhash.keep_one(docs)
+    assert out.columns == names and sorted(map(tuple, out.collect())) == sorted([rows[0], rows[3]])
+
+
+def test_recall_of_pairs_just_similar():
+    """Texts of all lengths, edited until their similarity lies between 0.8 and 0.85, share a sketch nearly always."""
+    rng = np.random.default_rng(11)
+    met, tried = 0, 0
+    for n in (12, 16, 20, 26, 32, 50, 100, 400, 1000):
+        for _ in range(60):
+            words = rng.integers(1, 1 << 60, n + 4).astype(np.uint64)
+            other, last = words.copy(), None
+            while minhash.similarity(a := minhash.labelled_kmers(words), b := minhash.labelled_kmers(other)) >= 0.8:
+                last = b
+                other = other.copy()
+                at = int(rng.choice([0, len(other) - 1, rng.integers(0, len(other))], p=[0.2, 0.2, 0.6]))
+                other = np.delete(other, at) if rng.random() < 0.3 else np.where(np.arange(len(other)) == at, np.uint64(rng.integers(1, 1 << 60)), other)
+            if 0.8 <= minhash.similarity(a, last) <= 0.85:
+                tried += 1
+                met += bool(set(minhash.sketch_keys(a).tolist()) & set(minhash.sketch_keys(last).tolist()))
+    assert tried > 150 and met >= 0.99 * tried, (met, tried)
+
+
 def test_alignment_matches_a_plain_program():
     rng = np.random.default_rng(2)
     for _ in range(40):

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of up to this many rows, a few dozen bytes each, are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 300_000
+#: Tables of up to this many rows and bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32_000_000
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -30,12 +30,15 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and runs on one machine, as in tests; on a cluster
+    executors wouldn't see it, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
@@ -56,8 +59,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count shows that its rows are few; for narrow tables without costly lineage."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if a count shows that its rows and bytes are few; for tables without costly lineage."""
+    bytes_ = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    found = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(bytes_), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= BROADCAST_ROWS and found["b"] <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

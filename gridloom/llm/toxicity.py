@@ -43,7 +43,8 @@ QUANTILES = (0.9, 0.99, 0.997, 0.999, 0.9997, 0.9999)
 MOST_GAIN = 63
 FOLDS = 3
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 24_000_000
-REMEMBERED = 300_000
+#: Words whose gains a task remembers, and words that are looked up at a time; both bound memory and change no result.
+REMEMBERED, SLICE = 100_000, 1 << 14
 THRESHOLD = 0.7
 
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
@@ -85,6 +86,8 @@ class Gains:
 
     def of(self, found: list[str]) -> np.ndarray:
         """A number for each word, six bits for each toxic dictionary."""
+        if len(found) > SLICE:
+            return np.concatenate([self.of(found[at : at + SLICE]) for at in range(0, len(found), SLICE)])
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set(found).difference(self.known))
@@ -99,10 +102,9 @@ class Gains:
         """How many windows have each gain: one row of MOST_GAIN + 1 numbers for each toxic dictionary."""
         total = np.zeros((len(self.toxic), MOST_GAIN + 1), dtype=np.int64)
         found = words(text)
-        for at in range(0, len(found), REMEMBERED):
-            codes = self.of(found[at : at + REMEMBERED])
-            for k in range(len(self.toxic)):
-                total[k] += np.bincount(codes >> (6 * k) & MOST_GAIN, minlength=MOST_GAIN + 1)
+        codes = self.of(found)
+        for k in range(len(self.toxic)):
+            total[k] += np.bincount(codes >> (6 * k) & MOST_GAIN, minlength=MOST_GAIN + 1)
         return total
 
 
@@ -126,12 +128,13 @@ def _spread(texts: list[str], most: int) -> Iterator[str]:
 
 def train(ordinary: list[str], toxic: list[str]) -> tuple[bytes, list[bytes]]:
     """The ordinary dictionary and the two toxic ones of the texts."""
-    usual, seen = list(_spread(ordinary, TRAINED)), list(_spread(toxic, TRAINED))
-    windows = coded(seen)
-    plain, first = dictionary(ORDINARY_BYTES, coded(usual)), dictionary(TOXIC_BYTES, windows)
+    plain = dictionary(ORDINARY_BYTES, coded(list(_spread(ordinary, TRAINED))))
+    windows = coded(list(_spread(toxic, TRAINED)))
+    first = dictionary(TOXIC_BYTES, windows)
     gains = Gains(plain, [first])
-    least = max(1, np.quantile(gains.of(usual), KEPT_SHARE)) if usual else 1
-    kept = [w for w, gain in zip(windows, gains.of(seen).tolist()) if gain >= least]
+    usual = list(_spread(ordinary, TRAINED))
+    least = np.quantile(gains.of(usual), KEPT_SHARE) if usual else 1
+    kept = [w for w, gain in zip(windows, gains.of(list(_spread(toxic, TRAINED))).tolist()) if gain >= max(1, least)]
     return plain, [first, dictionary(TOXIC_BYTES, kept)]
 
 
@@ -185,8 +188,8 @@ def _trained(sample: DataFrame) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id")
         part = int(rows["part"].iloc[0])
-        own = rows[rows["fold"] != part]
-        ordinary, toxic = train(own["text"][own["label"] == 0].tolist(), own["text"][own["label"] == 1].tolist())
+        texts = lambda label: rows["text"][(rows["fold"] != part) & (rows["label"] == label)].tolist()
+        ordinary, toxic = train(texts(0), texts(1))
         if part == FOLDS:
             return pd.DataFrame({"part": [part], "doc_id": [None], "label": [None], "counts": [None], "dictionaries": [[ordinary, *toxic]]})
         rest = rows[rows["fold"] == part]

@@ -411,10 +411,14 @@ def crop_image_geometry(cells, grid):
     return neighbors.crop(cells, grid, (2, 3, 1), (6, 10, 8))[0].select("idx", "value")
 
 
-@cell_query(" SELECT c.idx, s.value AS sampled FROM cells c LEFT JOIN cells s ON s.x = CASE WHEN c.x + 0.5 < 3 THEN 0 WHEN c.x + 0.5 < 10 THEN 1 END AND s.y = CASE WHEN 2 * c.y + 1 < 11 THEN 0 ELSE 1 END AND s.z = 0 AND 3 * c.z + 1.5 < 100")
+@cell_query(""", b AS (SELECT 3.0::DOUBLE * max(z) + 3 AS top FROM cells),
+ s AS (SELECT x // 4 AS i, y // 5 AS j, z // 7 AS k, sum(level)::BIGINT AS sampled FROM cells GROUP BY ALL)
+ SELECT c.idx, s.sampled FROM cells c LEFT JOIN s ON s.i = (CASE WHEN c.x < 4 THEN 0 WHEN c.x < 8 THEN 1 ELSE 2 END) AND s.j = c.y // 5 AND s.k = c.z // 7""")
 def resample_rectilinear_grid(cells, grid):
-    coarse = cells.where("x < 2 and y < 2 and z = 0").select((F.col("x") + 2 * F.col("y")).alias("idx"), F.col("value").alias("sampled"))
-    return neighbors.resample_rectilinear(coarse, ([0.0, 3.0, 10.0], [0.0, 11.0, 30.0], [0.0, 100.0]), grid, ["sampled"]).select("idx", "sampled")
+    i, j, k = F.floor(F.col("x") / 4), F.floor(F.col("y") / 5), F.floor(F.col("z") / 7)
+    coarse = cells.groupBy((i + 3 * j + 9 * k).alias("idx")).agg(F.sum("level").alias("sampled"))
+    layers = [21.0 * k for k in range((grid.dims[2] - 1) // 7 + 1)] + [3.0 * grid.dims[2]]
+    return neighbors.resample_rectilinear(coarse, ([0.0, 4.0, 8.0, 10.0], [0.0, 10.0, 20.0, 30.0], layers), grid, ["sampled"]).select("idx", "sampled")
 
 
 @cell_query(" SELECT c.idx, coalesce(s.value, 0) AS fused FROM cells c LEFT JOIN cells s ON s.x = floor(c.x / 2) AND s.y = c.y AND s.z = c.z")
@@ -653,7 +657,7 @@ def eps_neighbors(spark, sf_dir):
     return cluster.eps_neighbors(_vectors(spark, sf_dir), "v", 1.2)
 
 
-_DB = """WITH RECURSIVE p AS (SELECT c_custkey AS idx, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y FROM customer WHERE c_custkey < 1500), n AS (SELECT a.idx AS i, b.idx AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 1.0),
+_DB = """WITH RECURSIVE p AS (SELECT c_custkey AS idx, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y FROM customer), n AS (SELECT a.idx AS i, b.idx AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 1.0),
 core AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 3), e AS (SELECT i, j, d FROM n WHERE j IN (SELECT i FROM core)), r(idx, root) AS (SELECT i, i FROM core UNION SELECT e.j, r.root FROM r JOIN e ON e.i = r.idx WHERE e.j > r.root), c AS (SELECT idx, min(root) AS root FROM r GROUP BY idx), k AS (SELECT root, row_number() OVER (ORDER BY root) AS id FROM (SELECT DISTINCT root FROM c))
 SELECT p.idx, coalesce(b.id, 0)::INTEGER AS cluster FROM p LEFT JOIN (SELECT e.i, arg_min(k.id, (e.d, e.j)) AS id FROM e JOIN c ON c.idx = e.j JOIN k USING (root) GROUP BY e.i) b ON b.i = p.idx"""
 
@@ -781,14 +785,97 @@ def table_round_trip(spark, sf_dir):
     return df.groupBy((F.col("l_orderkey") % 100).alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("total"))
 
 
-@query(f"WITH {CELLS} SELECT x, count(*)::BIGINT AS lines FROM cells GROUP BY x")
-@_on_cells
+@cell_query(" SELECT idx, round(value, 4) AS value FROM cells")
 def vtk_round_trip(cells, grid):
-    spark = cells.sparkSession
-    path = scratch(spark, "vtk")
+    path = scratch(cells.sparkSession, "vtk")
     binary.write_lines(binary.vtk_structured_points(cells, grid, ["value"]), path)
-    back, read = binary.read_vtk_structured_points(spark, path)
-    return read.with_xyz(back.where("value is not null")).groupBy("x").agg(F.count("*").alias("lines"))
+    back, _ = binary.read_vtk_structured_points(cells.sparkSession, path)
+    return back.where("value is not null").select("idx", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+# Rows, components and directions
+
+@query("SELECT vec_id, round(embedding[4]::DOUBLE, 6) AS c FROM embeddings")
+def extract_component(spark, sf_dir):
+    out = scalar.extract_component(table(spark, sf_dir, "embeddings"), "embedding", 3, "c")
+    return out.select("vec_id", F.round(F.col("c").cast("double"), 6).alias("c"))
+
+
+_QUAT = "(SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount AS y, l_tax AS z, l_extendedprice AS w FROM lineitem)"
+
+
+def _quaternions(spark, sf_dir):
+    return lineitem(spark, sf_dir).withColumn("q", F.array("l_quantity", "l_discount", "l_tax", "l_extendedprice"))
+
+
+def _numbers(df, columns):
+    return df.select("l_orderkey", "l_linenumber", *columns)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, w AS a, x AS b, y AS c, z AS d FROM {_QUAT}")
+def convert_quaternion(spark, sf_dir):
+    q = orientation.reorder_quaternion(F.col("q"))
+    return _numbers(_quaternions(spark, sf_dir), [q[i].alias(n) for i, n in enumerate("abcd")])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, 0 - x AS a, 0 - y AS b, 0 - z AS c, w AS d FROM {_QUAT}")
+def quaternion_conjugate(spark, sf_dir):
+    q = orientation.conjugate(F.col("q"))
+    return _numbers(_quaternions(spark, sf_dir), [q[i].alias(n) for i, n in enumerate("abcd")])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(x / sqrt(x * x + y * y + z * z), 9) AS a, round(y / sqrt(x * x + y * y + z * z), 9) AS b, round(z / sqrt(x * x + y * y + z * z), 9) AS c, round(sqrt(x * x + y * y + z * z), 9) AS d FROM {_QUAT}")
+def rodrigues_convertor(spark, sf_dir):
+    r = orientation.rodrigues_convertor(F.col("q"))
+    return _numbers(_quaternions(spark, sf_dir), [F.round(r[i], 9).alias(n) for i, n in enumerate("abcd")])
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, (l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ()) AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN p < 0.5 THEN 0 ELSE floor(0 * (1 - (p - 0.5) / 0.5) + 200 * ((p - 0.5) / 0.5))::INTEGER END AS r,
+CASE WHEN p < 0.5 THEN floor(0 * (1 - p / 0.5) + 100 * (p / 0.5))::INTEGER ELSE 100 END AS g FROM t WHERE p < 1""")
+def color_map(spark, sf_dir):
+    out = scalar.color_map(lineitem(spark, sf_dir), "l_quantity", [(0.0, 0, 0, 0), (0.5, 0, 100, 0), (1.0, 200, 100, 0)])
+    top = out.agg(F.max("l_quantity").alias("top"))
+    return out.join(F.broadcast(top), F.col("l_quantity") < F.col("top")).select("l_orderkey", "l_linenumber", F.col("color")[0].alias("r"), F.col("color")[1].alias("g"))
+
+
+@cell_query(" SELECT idx, CASE WHEN x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 9 AND z BETWEEN 3 AND 11 THEN -1.5 ELSE value END AS value FROM cells")
+def initialize_box(cells, grid):
+    return scalar.initialize_box(cells, ["value"], (2, 1, 3), (6, 9, 11), -1.5).select("idx", "value")
+
+
+@cell_query(_stencil_sql(BOX, "max(n.value) - min(n.value)"))
+def morphological_gradient(cells, grid):
+    return stencil.morphological_gradient(cells, grid, "value", name="made").select("idx", "made")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, c_acctbal FROM customer WHERE c_nationkey >= 5")
+def remove_flagged_vertices(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), "c_acctbal", (F.col("c_nationkey") < 5).alias("flag"))
+    return threshold.remove_flagged_vertices(c, "flag")
+
+
+@query("""WITH t AS (SELECT c_custkey AS k, unnest([c_custkey, c_custkey + 1, c_custkey + 2]) AS v, unnest([0, 1, 2]) AS corner FROM customer WHERE c_nationkey >= 5),
+n AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM (SELECT DISTINCT v FROM t)), e AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS idx FROM (SELECT DISTINCT k FROM t))
+SELECT e.idx, max(n.id) FILTER (corner = 0) AS v0, max(n.id) FILTER (corner = 1) AS v1, max(n.id) FILTER (corner = 2) AS v2 FROM t JOIN n USING (v) JOIN e USING (k) GROUP BY e.idx""")
+def remove_flagged_triangles(spark, sf_dir):
+    v, t = _mesh(spark, sf_dir)
+    flags = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_nationkey") < 5).alias("flag"))
+    return threshold.remove_flagged_elements(t.join(flags, "idx"), v, "flag", ["v0", "v1", "v2"])[0].select("idx", "v0", "v1", "v2")
+
+
+@query("SELECT c_custkey AS idx, c_custkey + 2 AS v0, c_custkey + 1 AS v1, c_custkey AS v2 FROM customer")
+def reverse_winding(spark, sf_dir):
+    return mesh.reverse_winding(_mesh(spark, sf_dir)[1]).select("idx", "v0", "v1", "v2")
+
+
+@query("SELECT c_custkey AS key, round(c_acctbal, 2) AS value FROM customer")
+def ascii_round_trip(spark, sf_dir):
+    path = scratch(spark, "ascii")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_acctbal").alias("value"))
+    text.write_ascii(c, path, ["value"], index=True)
+    back = text.read_csv(spark, path, {"key": "int64", "value": "float64"})
+    return back.select("key", F.round("value", 2).alias("value"))
 
 
 def queries() -> dict:

@@ -147,6 +147,11 @@ def reorder_quaternion(q: Column, to: str = "scalar_vector") -> Column:
     return F.array(*(q[i] for i in order))
 
 
+def conjugate(q: Column) -> Column:
+    """The conjugate of (x, y, z, w)."""
+    return F.array(0 - q[0], 0 - q[1], 0 - q[2], q[3])
+
+
 def rodrigues_convertor(r: Column) -> Column:
     """A vector of three as direction and length; no length gives NaN."""
     size = F.sqrt(r[0] ** 2 + r[1] ** 2 + r[2] ** 2)

@@ -17,6 +17,10 @@ from gridloom.operators.threshold import ranks
 from gridloom.session import cut
 
 
+def _unfinished(most: int) -> RuntimeError:
+    return RuntimeError(f"not stable after {most} rounds; pass a larger bound")
+
+
 def _until_stable(cells: DataFrame, grid: Grid, state: str, fixed: list[str], sweep, tile, most: int) -> DataFrame:
     """Replaces state by sweep(arrays, inside) on tiles with a rim of one until no cell changes."""
     kind = dict(cells.dtypes)[state]
@@ -31,8 +35,8 @@ def _until_stable(cells: DataFrame, grid: Grid, state: str, fixed: list[str], sw
         made = cut(map_tiles(now, grid, columns, {"_new": kind, "_moved": "boolean"}, compute, 1, tile, carry=[c for c in now.columns if c not in ("idx", state)]))
         now = made.withColumnRenamed("_new", state).select(*cells.columns)
         if made.where("_moved").isEmpty():
-            break
-    return now
+            return now
+    raise _unfinished(most)
 
 
 def reconstruct(cells: DataFrame, grid: Grid, marker: str, mask: str, by: str = "dilation", tile=(64, 64, 64), most: int = 10_000) -> DataFrame:
@@ -180,6 +184,8 @@ def euclidean_distance_map(cells: DataFrame, grid: Grid, feature: str = "fid", j
         now = made.select("idx", feature, F.col("_n").alias("_src"), "_d")
         if made.where("_moved").isEmpty():
             break
+    else:
+        raise _unfinished(most)
     return cells.join(now.select("idx", F.col("_d").alias(name), F.col("_src").alias(f"{name}_source")), "idx")
 
 
@@ -187,12 +193,12 @@ def _fill(cells: DataFrame, grid: Grid, feature: str, carry: tuple[str, ...], mo
     for _ in range(most):
         left = cells.where(F.col(feature) == 0).count()
         if not left:
-            break
+            return cells
         new = cut(erode_dilate_bad_data(cells, grid, feature, "erode", carry=carry))
         if new.where(F.col(feature) == 0).count() == left:
-            break
+            return cells
         cells = new
-    return cells
+    raise _unfinished(most)
 
 
 def _renumbered(cells: DataFrame, feature: str) -> DataFrame:
@@ -295,6 +301,8 @@ def binary_thinning(cells: DataFrame, grid: Grid, value: str, foreground: int =
         now = made.withColumnRenamed("_new", "_m").drop("_moved")
         if made.where("_moved").isEmpty():
             break
+    else:
+        raise _unfinished(most)
     kind = dict(cells.dtypes)[value]
     return now.withColumn(name or value, F.when(F.col("_m"), foreground).otherwise(0).cast(kind)).drop("_m").select(*cells.columns, *([name] if name and name not in cells.columns else []))
 

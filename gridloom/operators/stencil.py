@@ -60,6 +60,12 @@ def grayscale_erode(cells, grid, value, radius=(1, 1, 1), shape="box", name=None
     return _apply(cells, grid, value, lambda b, i: erode_block(b, i, places), radius, name)
 
 
+def morphological_gradient(cells, grid, value, radius=(1, 1, 1), shape="box", name=None):
+    """The greatest value of the neighborhood minus the least."""
+    places = offsets(radius, shape)
+    return _apply(cells, grid, value, lambda b, i: dilate_block(b, i, places) - erode_block(b, i, places), radius, name)
+
+
 def white_top_hat(cells, grid, value, radius=(1, 1, 1), shape="box", name=None):
     """value minus its opening."""
     places = offsets(radius, shape)

@@ -17,6 +17,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -64,6 +65,12 @@ class ByteBpe:
         return self._slow.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> ByteBpe:
+    """One for all tasks of a worker."""
+    return ByteBpe(path)
+
+
 def place(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """(piece, start in it, length, sequence, offset) for pieces shorter than capacity."""
     n = -(-int(lengths.sum()) // capacity)
@@ -128,7 +135,7 @@ def cost_balanced_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe = ByteBpe(path)
+        bpe = _loaded(path)
 
         def encoded():
             for batch in batches:

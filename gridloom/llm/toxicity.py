@@ -12,7 +12,7 @@ restored, so scores are probabilities. Dictionaries are small, so that they hold
 The fit uses at most most_toxic and most_ordinary labelled rows, most_bytes bytes of text and TRAINED windows a dictionary.
 FOLDS + 1 tasks train on it, the last one on all rows; the others score the rows that they left out, which calibrates the
 thresholds and weights on windows that no dictionary has seen. Only dictionaries and counts of gains come back to the driver.
-Scoring reads every whole text, one at a time, without any shuffle; equal windows are compressed once a task as far as
+Scoring reads every whole text, one at a time, without any shuffle; equal windows are compressed once a worker as far as
 REMEMBERED of them go.
 
 Defined cases: a null text counts as empty and has no windows; a very long text is one row of counts, whatever its length;
@@ -43,7 +43,7 @@ QUANTILES = (0.9, 0.99, 0.997, 0.999, 0.9997, 0.9999)
 MOST_GAIN = 63
 FOLDS = 3
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 24_000_000
-#: Words whose gains a task remembers, and words that are looked up at a time; both bound memory and change no result.
+#: Words whose gains a worker remembers, and words that are looked up at a time; both bound memory and change no result.
 REMEMBERED, SLICE = 100_000, 1 << 14
 THRESHOLD = 0.7
 
@@ -80,7 +80,7 @@ def _compressor(content: bytes):
 class Gains:
     """The gains of words, under each toxic dictionary; found when first asked for."""
 
-    def __init__(self, ordinary: bytes, toxic: list[bytes]):
+    def __init__(self, ordinary: bytes, toxic: tuple[bytes, ...]):
         self.ordinary, self.toxic = _compressor(ordinary), [_compressor(t) for t in toxic]
         self.known: dict[str, int] = {}
 
@@ -108,6 +108,12 @@ class Gains:
         return total
 
 
+@lru_cache(maxsize=1)
+def _remembered(ordinary: bytes, toxic: tuple[bytes, ...]) -> Gains:
+    """One for all tasks of a worker that score under the same dictionaries."""
+    return Gains(ordinary, toxic)
+
+
 def dictionary(size: int, samples: list[bytes]) -> bytes:
     """A trained dictionary; the samples themselves where they are too few for the trainer."""
     try:
@@ -131,7 +137,7 @@ def train(ordinary: list[str], toxic: list[str]) -> tuple[bytes, list[bytes]]:
     plain = dictionary(ORDINARY_BYTES, coded(list(_spread(ordinary, TRAINED))))
     windows = coded(list(_spread(toxic, TRAINED)))
     first = dictionary(TOXIC_BYTES, windows)
-    gains = Gains(plain, [first])
+    gains = Gains(plain, (first,))
     usual = list(_spread(ordinary, TRAINED))
     least = np.quantile(gains.of(usual), KEPT_SHARE) if usual else 1
     kept = [w for w, gain in zip(windows, gains.of(list(_spread(toxic, TRAINED))).tolist()) if gain >= max(1, least)]
@@ -171,7 +177,7 @@ class ToxicityModel:
         return np.concatenate([*(np.log1p(row[cuts]) for row, cuts in zip(reach, self.thresholds)), [np.log1p(counts[0].sum()) / 10]])
 
     def gains(self) -> Gains | None:
-        return None if self.beta is None else Gains(self.ordinary, self.toxic)
+        return None if self.beta is None else _remembered(self.ordinary, tuple(self.toxic))
 
     def score(self, text: str | None, gains: Gains | None) -> float:
         if gains is None:
@@ -193,7 +199,7 @@ def _trained(sample: DataFrame) -> DataFrame:
         if part == FOLDS:
             return pd.DataFrame({"part": [part], "doc_id": [None], "label": [None], "counts": [None], "dictionaries": [[ordinary, *toxic]]})
         rest = rows[rows["fold"] == part]
-        gains = Gains(ordinary, toxic)
+        gains = Gains(ordinary, tuple(toxic))
         counts = [gains.counts(t).ravel().tolist() for t in rest["text"]]
         return pd.DataFrame({"part": part, "doc_id": rest["doc_id"], "label": rest["label"], "counts": pd.Series(counts, index=rest.index, dtype=object), "dictionaries": None})
 

@@ -41,6 +41,30 @@ def test_linked_rows_gather(spark):
     assert sum(len(s) == 1 for s in shards.values()) >= 0.9 * len(shards)
 
 
+def test_propagation_cuts_fewer_links_than_random_placement_and_keeps_columns(spark):
+    """Chains: a row shares k with one neighbor and m with another; columns with the operator's own names keep their values."""
+    rows = [(i, i // 2, (i + 1) // 2 if (i + 1) % 12 else None, f"x{i}", -i, 2.0 * i, 99, 98) for i in range(480)]
+    df = spark.createDataFrame(rows, "id long, k long, m long, _row string, _shard long, _id double, shard int, slot int")
+    out = sharding.balanced_label_propagation(df, "id", ["k", "m"])
+    assert out.columns == ["id", "k", "m", "_row", "_shard", "_id", "shard", "slot"]
+    found = out.collect()
+    check_shards(found)
+    assert all((r["_row"], r["_shard"], r["_id"]) == (f"x{r['id']}", -r["id"], 2.0 * r["id"]) for r in found)
+    shard = {r["id"]: r["shard"] for r in found}
+    linked = [(a, b) for link in (1, 2) for a, b in zip(range(479), range(1, 480)) if rows[a][link] is not None and rows[a][link] == rows[b][link]]
+    cut = sum(shard[a] != shard[b] for a, b in linked)
+    assert cut < 0.5 * 7 / 8 * len(linked)
+
+
+def test_equal_texts_share_a_shard(spark):
+    rows = QUERIES["op1_label_propagation"](spark, DIR.replace("0.001", "0.01")).collect()
+    by = defaultdict(set)
+    for r in rows:
+        by[(r["text_crc32"], r["size"])].add(r["shard"])
+    assert max(Counter((r["text_crc32"], r["size"]) for r in rows).values()) > 1
+    assert sum(len(s) > 1 for s in by.values()) <= 1
+
+
 def test_one_link_of_a_third_of_all_rows(spark):
     rows = [(i, "hot" if i % 3 == 0 else None) for i in range(600)]
     out = sharding.balanced_label_propagation(spark.createDataFrame(rows, "id long, k string"), "id", ["k"]).collect()

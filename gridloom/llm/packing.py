@@ -22,6 +22,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from gridloom.llm.workers import lean
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Characters that both tokenizer libraries are known to split alike; other texts take the slower library.
 _COMMON = re.compile("[\t\n\r\x20-\x7e¡-ɏΑ-ωА-яぁ-ゖァ-ヺ一-龥]*")
@@ -159,4 +161,4 @@ def cost_balanced_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if rows:
             yield batch_of()
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(lean(run), SCHEMA)

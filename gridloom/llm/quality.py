@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.samples import id_checksum, labelled_sample
+from gridloom.llm.workers import lean
 
 ROWS, DIMS, REACH = 1 << 14, 24, 2
 #: Texts that are read at a time.
@@ -109,7 +110,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         keys = np.flatnonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(total[d, keys], pa.float64()) for d in range(DIMS))], names=["row", *(f"d{d}" for d in range(DIMS))])
 
-    parts = docs.select(docs[text_col]).mapInArrow(run, "row long, " + ", ".join(f"d{d} double" for d in range(DIMS)))
+    parts = docs.select(docs[text_col]).mapInArrow(lean(run), "row long, " + ", ".join(f"d{d} double" for d in range(DIMS)))
     # at most ROWS rows; sums of whole numbers, so their order doesn't matter
     summed = parts.groupBy("row").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS))).collect()
     vectors = np.zeros((ROWS, DIMS), dtype=np.float32)

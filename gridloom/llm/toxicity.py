@@ -10,7 +10,7 @@ texts; the numbers of windows at or above them are the features of a logistic re
 restored, so scores are probabilities. Dictionaries are small, so that they hold what is frequent.
 
 The fit uses at most most_toxic and most_ordinary labelled rows, most_bytes bytes of text and TRAINED windows a dictionary.
-FOLDS + 1 tasks train on it, the last one on all rows; the others score the rows that they left out, which calibrates the
+FOLDS + 1 parts train on it, one after another, the last one on all rows; the others score the rows that they left out, which calibrates the
 thresholds and weights on windows that no dictionary has seen. Only dictionaries and counts of gains come back to the driver.
 Scoring reads every whole text, one at a time, without any shuffle; equal windows are compressed once a worker as far as
 REMEMBERED of them go.
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.samples import id_checksum, labelled_sample
+from gridloom.llm.workers import give_back
 
 LEVEL = 6
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 13
@@ -70,7 +71,7 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=3)
 def _compressor(content: bytes):
     shared = zstandard.ZstdCompressionDict(content)
     shared.precompute_compress(level=LEVEL)
@@ -189,9 +190,10 @@ class ToxicityModel:
 def _trained(sample: DataFrame) -> DataFrame:
     """(part, doc_id, label, counts, dictionaries): what each part's dictionaries say of the rows that they left out."""
     fold = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(FOLDS)).cast("int")
-    copies = sample.withColumn("fold", fold).withColumn("part", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))))
+    # one task: a part takes some 250 MB while it trains, and parts side by side would add up in an executor
+    copies = sample.repartition(1).withColumn("fold", fold).withColumn("part", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def trained(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id")
         part = int(rows["part"].iloc[0])
         texts = lambda label: rows["text"][(rows["fold"] != part) & (rows["label"] == label)].tolist()
@@ -203,8 +205,12 @@ def _trained(sample: DataFrame) -> DataFrame:
         counts = [gains.counts(t).ravel().tolist() for t in rest["text"]]
         return pd.DataFrame({"part": part, "doc_id": rest["doc_id"], "label": rest["label"], "counts": pd.Series(counts, index=rest.index, dtype=object), "dictionaries": None})
 
-    # a range for each part, so that they are trained side by side
-    return copies.repartitionByRange(FOLDS + 1, "part").groupBy("part").applyInPandas(run, "part int, doc_id long, label int, counts array<long>, dictionaries array<binary>")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        made = trained(rows)
+        give_back()
+        return made
+
+    return copies.groupBy("part").applyInPandas(run, "part int, doc_id long, label int, counts array<long>, dictionaries array<binary>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = TRAIN_TOXIC, most_ordinary: int = TRAIN_ORDINARY, most_bytes: int = TRAIN_BYTES) -> ToxicityModel:
@@ -233,5 +239,6 @@ def score(model: ToxicityModel, text: Column) -> Column:
         gains = model.gains()
         for texts in batches:
             yield pd.Series([model.score(t, gains) for t in texts], dtype="float64")
+        give_back()
 
     return scored(text)

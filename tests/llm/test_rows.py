@@ -226,3 +226,10 @@ def test_repeated_rows_follow_the_mix(spark):
         want[r["doc_id"]] += r["copies"]
     got = Counter(r["doc_id"] for r in mixing.repeated(docs).collect())
     assert got == +want and mixing.repeated(docs).columns == docs.columns
+
+
+def test_lean_keeps_all_batches():
+    from gridloom.llm.workers import lean
+
+    assert list(lean(lambda batches: (b + 1 for b in batches))(iter([1, 2, 3]))) == [2, 3, 4]
+    assert list(lean(lambda batches: iter(()))(iter([]))) == []

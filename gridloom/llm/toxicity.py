@@ -7,7 +7,8 @@ texts, a first toxic one on all windows of toxic texts, and a second toxic one o
 first shortens most against the ordinary one (few windows of a toxic text are toxic). A window's gains are its compressed
 lengths under the ordinary dictionary less those under either toxic one. Thresholds are quantiles of the gains in ordinary
 texts; the numbers of windows at or above them are the features of a logistic regression with the base rate
-restored, so scores are probabilities. Dictionaries are small, so that they hold what is frequent.
+restored, so scores are probabilities. Toxic dictionaries are small, so that they hold what is frequent; the ordinary one is
+larger, and its entries are searched through a tree.
 
 The fit uses at most most_toxic and most_ordinary labelled rows, most_bytes bytes of text and TRAINED windows a dictionary.
 FOLDS + 1 parts train on it, one after another, the last one on all rows; the others score the rows that they left out, which calibrates the
@@ -34,8 +35,11 @@ from pyspark.sql import functions as F
 from gridloom.llm.samples import id_checksum, labelled_sample
 from gridloom.llm.workers import give_back
 
-LEVEL = 6
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 13
+#: Hundreds of words in a dictionary begin alike. In one of more than 16 KB, lower levels look at a few of those places only and miss
+#: words that are there, so that windows seem to gain by chance; from 11 on the search goes through a tree.
+LEVEL = 12
+#: The ordinary dictionary is three times as large, so that it holds the ordinary words which a toxic one holds too.
+ORDINARY_BYTES, TOXIC_BYTES = 24 << 10, 1 << 13
 #: Windows that train a dictionary, evenly spread over the sample; windows of toxic texts that train the second one gain as
 #: much as this share of ordinary ones doesn't.
 TRAINED, KEPT_SHARE = 240_000, 0.98
@@ -44,7 +48,8 @@ QUANTILES = (0.9, 0.99, 0.997, 0.999, 0.9997, 0.9999)
 MOST_GAIN = 63
 FOLDS = 3
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 24_000_000
-#: Words whose gains a worker remembers, and words that are looked up at a time; both bound memory and change no result.
+#: Words whose gains a worker remembers, twice as many at the utmost, and words that are looked up at a time; both bound memory and
+#: change no result.
 REMEMBERED, SLICE = 100_000, 1 << 14
 THRESHOLD = 0.7
 
@@ -84,14 +89,21 @@ class Gains:
     def __init__(self, ordinary: bytes, toxic: tuple[bytes, ...]):
         self.ordinary, self.toxic = _compressor(ordinary), [_compressor(t) for t in toxic]
         self.known: dict[str, int] = {}
+        self.earlier: dict[str, int] = {}
 
     def of(self, found: list[str]) -> np.ndarray:
         """A number for each word, six bits for each toxic dictionary."""
         if len(found) > SLICE:
             return np.concatenate([self.of(found[at : at + SLICE]) for at in range(0, len(found), SLICE)])
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(found).difference(self.known))
+            # words used since the last change stay; the others go
+            self.earlier, self.known = self.known, {}
+        new = []
+        for word in set(found).difference(self.known):
+            if (code := self.earlier.get(word)) is None:
+                new.append(word)
+            else:
+                self.known[word] = code
         for word, window in zip(new, coded(new)):
             plain, code = len(self.ordinary(window)), 0
             for k, squeeze in enumerate(self.toxic):
@@ -145,12 +157,12 @@ def train(ordinary: list[str], toxic: list[str]) -> tuple[bytes, list[bytes]]:
     return plain, [first, dictionary(TOXIC_BYTES, kept)]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Coefficients, the last one constant, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Coefficients, the last one constant, by Newton steps; the ridge weighs as much as one row, so more rows say more."""
     x = np.column_stack([x, np.ones(len(x))])
     beta = np.zeros(x.shape[1])
     weight = weight / weight.sum()
-    penalty = ridge * np.eye(x.shape[1])
+    penalty = np.eye(x.shape[1]) / len(x)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ beta)
@@ -232,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(model: ToxicityModel, text: Column) -> Column:
-    """The probability that a text is toxic; the model, 40 KB, is sent with the function."""
+    """The probability that a text is toxic; the model, 50 KB, is sent with the function."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -98,6 +98,30 @@ def test_toxicity_against_a_plain_program(spark):
     assert auc(np.array([r["score"] for r in away]), np.array([int(r["doc_id"] % 4 == 0) for r in away])) > 0.95
 
 
+def test_words_are_found_among_hundreds_that_begin_alike():
+    """A word that a dictionary of the ordinary one's size holds costs one match, wherever it stands."""
+    rng = np.random.default_rng(5)
+    found = sorted({"lo" + "".join(rng.choice(list("abcdefghik"), 6)) for _ in range(700)})
+    content = b"".join(toxicity.coded(found))[-toxicity.ORDINARY_BYTES :]
+    squeeze = toxicity._compressor(content)
+    lengths = [len(squeeze(window)) for window in toxicity.coded(found) if window in content]
+    assert len(lengths) > 300 and max(lengths) < 20, (len(lengths), max(lengths))
+
+
+def test_gains_are_the_same_whatever_is_remembered(monkeypatch):
+    found = [f"{a}{b}" for b in "xyz" for a in ("the", "vex", "war", "sun", "low")] * 3
+    ordinary, toxic = b"".join(toxicity.coded(found[:4])), b"".join(toxicity.coded(found[4:9]))
+    want = toxicity.Gains(ordinary, (toxic,)).of(found).tolist()
+    monkeypatch.setattr(toxicity, "REMEMBERED", 4)
+    monkeypatch.setattr(toxicity, "SLICE", 3)
+    gains = toxicity.Gains(ordinary, (toxic,))
+    assert gains.of(found).tolist() == want and any(want)
+    assert len(gains.known) <= 4 + 3 and len(gains.earlier) <= 4 + 3
+    before, kept = dict(gains.known), [next(iter(gains.known))]
+    gains.known, gains.earlier = {}, before
+    assert gains.of(kept).tolist() == [before[kept[0]]] and list(gains.known) == kept
+
+
 def test_samples_take_long_texts_as_often_as_short_ones(spark):
     """A text that no longer fits ends the sample; later short ones don't take its place."""
     rows = [(k, "x" * (100 if k % 2 else 10)) for k in range(400)]

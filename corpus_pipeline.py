@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import minhash, mixing, packing, pii, toxicity
+from gridloom.llm.workers import lean_batches
 from gridloom.session import table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go."""
+    lean_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score(model, F.col("text")) < toxicity.THRESHOLD)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that of least doc_id."""
+    lean_batches(spark)
     return minhash.keep_one(docs)
 
 
@@ -38,6 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens; a document that the mix repeats is packed as often."""
+    lean_batches(spark)
     return packing.cost_balanced_packing(docs)
 
 

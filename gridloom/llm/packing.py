@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from gridloom.llm.workers import lean
+from gridloom.llm.workers import lean, remembered
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Characters that both tokenizer libraries are known to split alike; other texts take the slower library.
@@ -67,6 +67,7 @@ class ByteBpe:
         return self._slow.encode(text, add_special_tokens=False).ids
 
 
+@remembered
 @lru_cache(maxsize=1)
 def _loaded(path: str) -> ByteBpe:
     """One for all tasks of a worker."""

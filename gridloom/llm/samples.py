@@ -8,6 +8,7 @@ doc_id that differ count as the largest; so do texts.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
             break
         taken.append((r["doc_id"], r["label"]))
         left -= r["n"]
-    ids = docs.sparkSession.createDataFrame(taken, "doc_id long, label int")
+    # as an Arrow table: a list would go through Python workers, whose own daemon stays in every executor's memory
+    ids = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array([i for i, _ in taken], pa.int64()), "label": pa.array([k for _, k in taken], pa.int32())}))
     found = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     return found.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")), counts

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.samples import id_checksum, labelled_sample
-from gridloom.llm.workers import give_back
+from gridloom.llm.workers import forget, give_back, remembered
 
 #: Hundreds of words in a dictionary begin alike. In one of more than 16 KB, lower levels look at a few of those places only and miss
 #: words that are there, so that windows seem to gain by chance; from 11 on the search goes through a tree.
@@ -76,6 +76,7 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+@remembered
 @lru_cache(maxsize=3)
 def _compressor(content: bytes):
     shared = zstandard.ZstdCompressionDict(content)
@@ -121,6 +122,7 @@ class Gains:
         return total
 
 
+@remembered
 @lru_cache(maxsize=1)
 def _remembered(ordinary: bytes, toxic: tuple[bytes, ...]) -> Gains:
     """One for all tasks of a worker that score under the same dictionaries."""
@@ -218,6 +220,7 @@ def _trained(sample: DataFrame) -> DataFrame:
         return pd.DataFrame({"part": part, "doc_id": rest["doc_id"], "label": rest["label"], "counts": pd.Series(counts, index=rest.index, dtype=object), "dictionaries": None})
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        forget(__name__)
         made = trained(rows)
         give_back()
         return made
@@ -248,6 +251,7 @@ def score(model: ToxicityModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget(__name__)
         gains = model.gains()
         for texts in batches:
             yield pd.Series([model.score(t, gains) for t in texts], dtype="float64")

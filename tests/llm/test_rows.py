@@ -233,3 +233,52 @@ def test_lean_keeps_all_batches():
 
     assert list(lean(lambda batches: (b + 1 for b in batches))(iter([1, 2, 3]))) == [2, 3, 4]
     assert list(lean(lambda batches: iter(()))(iter([]))) == []
+
+
+def test_workers_forget_other_operators():
+    from gridloom.llm.workers import lean
+
+    path = packing.default_tokenizer()
+    first = packing._loaded(path)
+
+    def own(batches):
+        yield packing._loaded(path) is first
+
+    own.__module__ = packing.__name__
+    assert list(lean(own)(iter([]))) == [True]
+    assert list(lean(lambda batches: iter(()))(iter([]))) == []
+    assert packing._loaded.cache_info().currsize == 0
+
+
+def test_pipeline_bounds_batches(spark):
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_arrays([[b.num_rows]], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = awkward(spark)
+    for k in (0, 1, 4):
+        for setting, most in ((10000, 500), (0, 500), (200, 200)):
+            spark.conf.set(key, setting)
+            try:
+                corpus_pipeline.STAGES[k][1](spark, docs, DIR)
+                found = [r["n"] for r in spark.range(0, 1300, 1, 1).mapInArrow(sizes, "n long").collect()]
+            finally:
+                spark.conf.unset(key)
+            assert sum(found) == 1300 and max(found) == most
+
+
+def test_sample_takes_no_python_worker(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.llm.samples import labelled_sample
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    for allowed, want in ((F.lit(True), 9), (F.lit(False), 0)):
+        found, _ = labelled_sample(docs, labels, "toxic", allowed, {0: 5, 1: 4}, 10_000)
+        assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+        assert len(rows) == want and all(r["text"] == f"text {r['doc_id']}" and r["label"] == r["doc_id"] % 2 for r in rows)

@@ -55,7 +55,7 @@ def grid_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
     cells = cells.select(
         "idx", "x", "y", "z", F.col("o_totalprice").alias("value"), F.when(F.col("o_custkey") % 11 == 0, 0).otherwise(fid).cast("long").alias("fid"),
         (1 + F.substring("o_orderpriority", 1, 1).cast("int") % 3).alias("phase"), (F.col("o_totalprice") > 100000).alias("mask"),
-        (F.round(F.col("o_totalprice") / 1000).cast("int") % 50).alias("level"),
+        (F.rint(F.col("o_totalprice") / 1000).cast("int") % 50).alias("level"),  # halves go to the even number, as in SQL
     )
     return cells, grid
 

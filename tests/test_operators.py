@@ -370,3 +370,16 @@ def test_far_points_find_their_nearest(spark):
     near = {r["idx"]: (r["nz"], r["distance"]) for r in iterate.nearest_points(points, v, 1.0, most=2).collect()}
     assert {i: n for i, (n, _) in near.items()} == {0: 0.0, 1: 9.0, 2: 0.0}
     assert math.isclose(near[1][1], math.sqrt(0.08 + 491.0**2))
+
+
+def test_level_rounds_halves_as_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    prices = [198500.0, 297500.0, 24500.0, 25500.0, 1499.99, 500.0, 1500.0, 49500.0]
+    spark.createDataFrame([(i, i % 7, p, "1-URGENT") for i, p in enumerate(prices)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("binary_dilate", "resample_rectilinear_grid", "zero_crossing"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        last = "sampled" if name.startswith("resample") else "made"
+        want = {i: v for i, v in con.execute(f"SELECT idx, {last} FROM ({catalog.oracle_sql()[name]})").fetchall()}
+        got = {r["idx"]: r[last] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        assert {i: got[i] for i in want} == want

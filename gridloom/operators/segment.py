@@ -62,13 +62,20 @@ def segment(cells: DataFrame, grid: Grid, columns: list[str], similar: Similar,
     faces = face_pairs(_near_borders(base, grid, tile), grid, [*columns, "_label"]).where("a__label >= 0 and b__label >= 0 and a__label != b__label")
     edges = _similar_rows(faces, columns, similar)
     joined = connected_components(edges, "a__label", "b__label")
-    root = base.join(joined.select(F.col("node").alias("_label"), F.col("component")), "_label", "left").select("idx", F.when(F.col("_label") >= 0, F.coalesce("component", "_label")).alias("_root"))
+    root = _with_names(base, joined.withColumnRenamed("node", "_label"), "_label", 0).select("idx", F.when(F.col("_label") >= 0, F.coalesce("component", "_label")).alias("_root"))
     root = cut(root)
     number = ranks(root.where("_root is not null"), "_root")
-    ids = root.join(number, "_root", "left").select("idx", F.coalesce(F.col("_rank") + 1, F.lit(0)).cast("long").alias(name))
+    ids = _with_names(root, number, "_root", 0).select("idx", F.coalesce(F.col("_rank") + 1, F.lit(0)).cast("long").alias(name))
     return cells.join(ids, "idx")
 
 
+def _with_names(cells: DataFrame, names: DataFrame, key: str, least: int) -> DataFrame:
+    """cells left-joined with names on key. Cells whose key is null or below least have no name; most cells can be such, so they
+    go by their own index instead of meeting in one task."""
+    own = F.when(F.col(key) >= least, F.col(key).cast("long")).otherwise(least - 1 - F.col("idx"))
+    return cells.withColumn("_own", own).join(names.withColumnRenamed(key, "_own"), "_own", "left").drop("_own")
+
+
 def _near_borders(cells: DataFrame, grid: Grid, tile: tuple[int, int, int]) -> DataFrame:
     """Cells on either side of a border between tiles."""
     near = F.lit(False)
@@ -118,7 +125,7 @@ def identify_sample(cells: DataFrame, grid: Grid, mask: str, fill_holes: bool =
             if n > 1:
                 edge = edge | (at == 0) | (at == n - 1)
         open_ = rest.where("_h > 0").groupBy("_h").agg(F.max(edge).alias("_open"))
-        kept = rest.join(open_, "_h", "left").select("idx", (F.col("_kept") | ~F.coalesce("_open", F.lit(False))).alias("_kept"))
+        kept = _with_names(rest, open_, "_h", 1).select("idx", (F.col("_kept") | ~F.coalesce("_open", F.lit(False))).alias("_kept"))
     return cells.drop(mask).join(kept, "idx").withColumnRenamed("_kept", mask).select(*cells.columns)
 
 
@@ -130,7 +137,7 @@ def fill_bad_data(cells: DataFrame, grid: Grid, feature: str = "fid", minimum: i
     marked = cells.withColumn("_bad", (F.col(feature) == 0).cast("int"))
     comps = connected_component_image(marked, grid, "_bad", "_c").drop("_bad")
     sizes = comps.where("_c > 0").groupBy("_c").agg(F.count("*").alias("_n"))
-    out = cut(comps.join(sizes, "_c", "left").withColumn("_large", F.coalesce(F.col("_n") >= minimum, F.lit(False))).drop("_c", "_n"))
+    out = cut(_with_names(comps, sizes, "_c", 1).withColumn("_large", F.coalesce(F.col("_n") >= minimum, F.lit(False))).drop("_c", "_n"))
     if phase and new_phase is not None:
         out = out.withColumn(phase, F.when("_large", F.lit(new_phase)).otherwise(F.col(phase)).cast(dict(cells.dtypes)[phase]))
     out = out.withColumn("_f", F.when(F.col("_large"), F.lit(-1)).otherwise(F.col(feature)).cast(dict(cells.dtypes)[feature]))
@@ -180,4 +187,4 @@ def double_threshold(cells: DataFrame, grid: Grid, value: str, bounds: tuple[flo
     wide = cells.withColumn("_w", F.col(value).between(bounds[0], bounds[3]).cast("int"))
     comps = connected_component_image(wide, grid, "_w", "_c")
     seeds = comps.where((F.col("_c") > 0) & F.col(value).between(bounds[1], bounds[2])).select("_c").distinct().withColumn("_s", F.lit(1))
-    return comps.join(seeds, "_c", "left").withColumn(name, F.coalesce("_s", F.lit(0))).select(*cells.columns, name)
+    return _with_names(comps, seeds, "_c", 1).withColumn(name, F.coalesce("_s", F.lit(0))).select(*cells.columns, name)

@@ -383,3 +383,18 @@ def test_level_rounds_halves_as_sql(spark, tmp_path):
         want = {i: v for i, v in con.execute(f"SELECT idx, {last} FROM ({catalog.oracle_sql()[name]})").fetchall()}
         got = {r["idx"]: r[last] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
         assert {i: got[i] for i in want} == want
+
+
+def test_cells_without_name_spread_over_tasks(spark):
+    cells = spark.range(4000).select(F.col("id").alias("idx"), F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 10 == 1, F.col("id")).cast("long").alias("_c"))
+    names = spark.range(1, 4000, 20).select(F.col("id").alias("_c"), F.lit("x").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    threshold_ = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = segment._with_names(cells, names, "_c", 1)
+        assert out.where("n = 'x'").count() == 200 and out.count() == 4000
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 1600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold_)

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -398,3 +399,32 @@ def test_cells_without_name_spread_over_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold_)
+
+
+def test_all_pairs_of_many_equal_points(spark):
+    at = spark.range(20_000).select(F.col("id").alias("idx"), (F.col("id") % 20).alias("c"), F.array((F.col("id") % 20).cast("double"), F.lit(1.0)).alias("v"))
+    began = time.monotonic()
+    assert {r["n"] for r in cluster.eps_neighbors(at, "v", 1.5).where("idx % 20 between 1 and 18").select("n").distinct().collect()} == {3000}
+    near = {r["silhouette"] for r in cluster.silhouette(at, "v", "c").select("silhouette").distinct().collect()}
+    assert near == {1.0}
+    placed, centres = cluster.k_medoids(at, "v", 2, centres=[[0.0, 1.0], [19.0, 1.0]])
+    assert centres == [[4.0, 1.0], [14.0, 1.0]] and placed.where("cluster = 1").count() == 10_000
+    assert time.monotonic() - began < 90
+
+
+def test_eps_neighbors_of_null_is_nothing(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, None)], "idx long, v array<double>")
+    assert {r["idx"]: r["n"] for r in cluster.eps_neighbors(df, "v", 5.0).collect()} == {1: 1, 2: 1, 3: 0}
+    assert {r["idx"]: r["n"] for r in cluster.eps_neighbors(df, "v", 5.0 + 1e-14).collect()} == {1: 2, 2: 2, 3: 0}
+
+
+def test_k_medoids_query_runs_until_medoids_stay(spark):
+    where = "/root/testdata/sf0.01"
+    vectors = {r["idx"]: np.array(r["v"], dtype=float) for r in catalog._vectors(spark, where).collect()}
+    got = {r["idx"]: r["cluster"] for r in catalog.queries()["k_medoids"](spark, where).collect()}
+    ids = {k: [i for i in vectors if got[i] == k] for k in (1, 2, 3)}
+    medoid = {}
+    for k, mine in ids.items():
+        x = np.stack([vectors[i] for i in mine])
+        medoid[k] = x[np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).sum(axis=1).argmin()]
+    assert all(min(medoid, key=lambda k: np.linalg.norm(medoid[k] - v)) == got[i] for i, v in vectors.items())

@@ -644,7 +644,7 @@ def k_means(spark, sf_dir):
 
 @query()
 def k_medoids(spark, sf_dir):
-    return cluster.k_medoids(_vectors(spark, sf_dir), "v", 3, iterations=2)[0].select("idx", "cluster")
+    return cluster.k_medoids(_vectors(spark, sf_dir), "v", 3)[0].select("idx", "cluster")
 
 
 @query(f"WITH {_VEC}, d AS (SELECT a.vec_id, a.label, b.label AS k, avg(list_distance(a.e, b.e)) AS m FROM v a, v b GROUP BY ALL) SELECT vec_id AS idx, round((min(m) FILTER (k <> label) - max(m) FILTER (k = label)) / greatest(min(m) FILTER (k <> label), max(m) FILTER (k = label)), 6) AS silhouette FROM d GROUP BY vec_id, label")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid, face_pairs
 from gridloom.operators.aggregates import _face_area
+from gridloom.operators.pairs import chunks, map_pairs
+from gridloom.session import cut
 
 
 def copy_feature_to_element(cells: DataFrame, features: DataFrame, values: list[str], feature: str = "fid") -> DataFrame:
@@ -78,17 +81,42 @@ def neighborhoods(features: DataFrame, multiple: float, feature: str = "fid", ce
 def feature_clustering(features: DataFrame, bins: int, phase: str, of: int, feature: str = "fid", centre: tuple[str, str, str] = ("centroid_x", "centroid_y", "centroid_z")) -> DataFrame:
     """Histogram of the distances between the centres of one phase's features (bin, lo, hi, count).
 
-    Distances of all pairs are what is asked; pairs are formed block by block in an equi-join of block numbers.
+    Distances of all pairs are what is asked; numpy forms them block by block, once for their limits and once for the counts, and
+    only limits and counts leave a block.
     """
-    some = features.where(F.col(phase) == of).select(F.col(feature).alias("i"), *(F.col(c).alias(f"p{k}") for k, c in enumerate(centre)))
-    blocks = 16
-    a = some.withColumn("_a", F.pmod(F.xxhash64("i"), F.lit(blocks))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = some.select(F.pmod(F.xxhash64("i"), F.lit(blocks)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_a"), F.col("i").alias("j"), *(F.col(f"p{k}").alias(f"q{k}") for k in range(3)))
-    d = a.join(b, ["_a", "_b"]).where("i < j").select(F.sqrt(sum((F.col(f"p{k}") - F.col(f"q{k}")) ** 2 for k in range(3))).alias("d"))
-    lim = d.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col("d") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
-    return d.crossJoin(F.broadcast(lim)).groupBy(at.cast("int").alias("bin"), "lo", "hi").agg(F.count("*").alias("count"))
+    some = cut(features.where(F.col(phase) == of).select(F.col(feature).alias("i"), *(F.col(c).cast("double").alias(f"p{k}") for k, c in enumerate(centre))))
+
+    def distances(a, b, same):
+        x, y = ([t[f"p{k}"].to_numpy() for k in range(3)] for t in (a, b))
+        ia, ib = a["i"].to_numpy(), b["i"].to_numpy()
+        for part in chunks(len(ia), len(ib)):
+            total = 0.0
+            for k in range(3):
+                d = x[k][part, None] - y[k]
+                total = total + d * d
+            yield np.sqrt(total)[ia[part, None] < ib] if same else np.sqrt(total).ravel()
+
+    def limits(a, b, same):
+        import pyarrow as pa
+
+        found = [(d.min(), d.max()) for d in distances(a, b, same) if len(d)]
+        return pa.table({"lo": pa.array([min(f[0] for f in found)] if found else [], pa.float64()), "hi": pa.array([max(f[1] for f in found)] if found else [], pa.float64())})
+
+    lim = map_pairs(some, "i", limits, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    lo, hi = lim["lo"], lim["hi"]
+
+    def counts(a, b, same):
+        import pyarrow as pa
+
+        made = np.zeros(bins, dtype=np.int64)
+        width = (hi - lo) / bins
+        for d in distances(a, b, same):
+            at = np.minimum(np.floor((d - lo) / width), bins - 1).astype(np.int64) if width > 0 else np.zeros(len(d), dtype=np.int64)
+            made += np.bincount(at, minlength=bins)
+        return pa.table({"bin": np.flatnonzero(made).astype(np.int32), "n": made[made > 0]})
+
+    made = map_pairs(some, "i", counts, "bin int, n long") if lo is not None else features.sparkSession.createDataFrame([], "bin int, n long")
+    return made.groupBy("bin").agg(F.sum("n").alias("count")).select("bin", F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), "count")
 
 
 def map_points_to_grid(points: DataFrame, grid: Grid, axes: tuple[str, str, str] = ("x", "y", "z"), name: str = "voxel", outside: str = "silent") -> DataFrame:

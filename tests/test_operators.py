@@ -12,7 +12,7 @@ from gridloom import catalog
 from gridloom.functions import orientation, scalar
 from gridloom.functions.calculator import CalculatorError, calculate
 from gridloom.grid import FACES, Grid
-from gridloom.operators import aggregates, cluster, iterate, mesh, segment, stencil, threshold
+from gridloom.operators import aggregates, cluster, iterate, mesh, neighbors, segment, stencil, threshold
 from gridloom.operators.components import connected_components
 from gridloom.plans.pipeline import Pipeline, PipelineError
 from gridloom.plans.structure import Structure, StructureError
@@ -428,3 +428,22 @@ def test_k_medoids_query_runs_until_medoids_stay(spark):
         x = np.stack([vectors[i] for i in mine])
         medoid[k] = x[np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).sum(axis=1).argmin()]
     assert all(min(medoid, key=lambda k: np.linalg.norm(medoid[k] - v)) == got[i] for i, v in vectors.items())
+
+
+def test_feature_clustering_counts_many_pairs(spark):
+    n = 9000
+    f = spark.range(n).select(F.col("id").alias("fid"), F.lit(1).alias("phase"), F.col("id").cast("double").alias("centroid_x"), F.lit(0.0).alias("centroid_y"), F.lit(0.0).alias("centroid_z"))
+    began = time.monotonic()
+    got = {r["bin"]: (r["lo"], r["hi"], r["count"]) for r in neighbors.feature_clustering(f, 10, "phase", 1).collect()}
+    d = np.arange(1, n)
+    at = np.minimum(np.floor((d - 1) / ((n - 2) / 10)), 9).astype(int)
+    assert got == {k: (1.0, n - 1.0, int((n - d)[at == k].sum())) for k in range(10)}
+    assert neighbors.feature_clustering(f.where("fid = 0"), 10, "phase", 1).count() == 0
+    assert time.monotonic() - began < 40
+
+
+def test_graph_steps_broadcast_few_rows_only(spark):
+    from gridloom.operators.components import small
+
+    shown = lambda n: small(spark.range(n))._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in shown(1000).lower() and "broadcast" not in shown(100_000).lower()
